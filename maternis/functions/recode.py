@@ -17,14 +17,21 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def label_map(labels: dict[str, str]) -> Column:
+    """A constant map literal (folded at plan time, one lookup per row)."""
+    return F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+
+
 def code_map(c: Column | str, labels: dict[str, str], unknown: tuple[str, ...] = ("9",),
              unknown_label: str = S.IGNORED) -> Column:
-    """code -> label; null or any of ``unknown`` -> ``unknown_label``; other -> null."""
+    """code -> label; null or any of ``unknown`` -> ``unknown_label``; other -> null.
+
+    A map lookup rather than a CASE chain: the generated code stays small
+    enough for the JIT when a dozen recodes share one whole-stage method.
+    """
     c = _c(c)
-    expr = None
-    for code, label in labels.items():
-        expr = F.when(c == code, label) if expr is None else expr.when(c == code, label)
-    return expr.when(c.isNull() | c.isin(*unknown), unknown_label).otherwise(F.lit(None).cast("string"))
+    return F.when(c.isNull() | c.isin(*unknown), F.lit(unknown_label)).otherwise(
+        F.element_at(label_map(labels), c))
 
 
 def recode_cause(c: Column | str = "causabas") -> Column:

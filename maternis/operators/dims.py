@@ -17,17 +17,39 @@ MAX_DIMENSION_ROWS = 200_000
 MAX_INTERVAL_ROWS = 10_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+_STATIC_BOUND = "_maternis_max_rows"
+_checked: dict[tuple[int, int], bool] = {}
 
-    The check reads at most ``max_rows + 1`` rows of the (small) side, never
-    the fact table.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
+
+def with_row_bound(df: DataFrame, max_rows: int) -> DataFrame:
+    """Declare a static row bound, e.g. for a table built from a fixed list.
+    ``bounded_broadcast`` then needs no job to prove the size."""
+    setattr(df, _STATIC_BOUND, max_rows)
     return df
 
 
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows.
+
+    A declared static bound is used as is. Otherwise a job reads at most
+    ``max_rows + 1`` rows of the (small) side, never the fact table; the answer
+    is remembered for the plan's semantic hash within the session.
+    """
+    static = getattr(df, _STATIC_BOUND, None)
+    if static is not None:
+        return static <= max_rows
+    key = (df.semanticHash(), max_rows)
+    if key not in _checked:
+        _checked[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _checked[key]
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
+    else ``df`` unchanged (Catalyst/AQE then plan a shuffle join)."""
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
 def enrich_municipality(df: DataFrame, municipalities: DataFrame, key: str = "codmunres") -> DataFrame:
     """Left join on the residence municipality; unmatched rows keep null geography."""
     return df.join(bounded_broadcast(municipalities), on=key, how="left")
@@ -40,7 +62,11 @@ def enrich_icd(df: DataFrame, icd: DataFrame, key: str = "causabas") -> DataFram
 
 def keep_codes(df: DataFrame, codes: DataFrame, key: str = "causabas") -> DataFrame:
     """Rows whose ``key`` is in the code list (left semi-join; null never matches)."""
-    return df.join(bounded_broadcast(codes.select(key).distinct()), on=key, how="left_semi")
+    small = codes.select(key).distinct()
+    bound = getattr(codes, _STATIC_BOUND, None)
+    if bound is not None:
+        small = with_row_bound(small, bound)
+    return df.join(bounded_broadcast(small), on=key, how="left_semi")
 
 
 def category_ordinal(code: Column) -> Column:
@@ -81,8 +107,11 @@ def icd_dimension(causes: DataFrame, chapters: DataFrame, key: str = "causabas")
     The category is the first three characters; the chapter is the chapter
     interval containing it (null in the gaps between chapters).
     """
-    distinct_causes = causes.select(key).where(F.col(key).isNotNull()).distinct()
-    chapter_of = interval_matches(distinct_causes, key, chapters).select(
-        key, F.col("DESCRICAO").alias("capitulo_cid10"))
-    return distinct_causes.join(chapter_of, on=key, how="left").select(
-        key, F.substring(F.col(key), 1, 3).alias("causabas_categoria"), "capitulo_cid10")
+    distinct_causes = (causes.select(key).where(F.col(key).isNotNull()).distinct()
+                       .withColumn("causabas_categoria", F.substring(F.col(key), 1, 3)))
+    iv = bounded_broadcast(chapters.select("CATINIC", "CATFIM", "DESCRICAO"), MAX_INTERVAL_ROWS)
+    cat = F.col("causabas_categoria")
+    out = distinct_causes.join(iv, (cat >= F.col("CATINIC")) & (cat <= F.col("CATFIM")), "left").select(
+        key, "causabas_categoria", F.col("DESCRICAO").alias("capitulo_cid10"))
+    bound = getattr(causes, _STATIC_BOUND, None)
+    return with_row_bound(out, bound) if bound is not None else out

@@ -21,6 +21,15 @@ from . import marts as M
 from .classify import classify
 
 
+_plans: dict[tuple, object] = {}
+
+
+def _memo(spark: SparkSession, *key):
+    """Per-session memo of lazy plans (DataFrames are immutable; nothing is
+    cached in memory, each query still executes its whole plan)."""
+    return (spark.sparkContext.applicationId,) + key
+
+
 @dataclass
 class Inputs:
     raw: DataFrame
@@ -34,17 +43,20 @@ def fixture_icd(spark: SparkSession) -> DataFrame:
     """ICD dimension of the fixture: its (recoded) cause codes, category and chapter."""
     codes = spark.createDataFrame([(c,) for c in FX.FIXTURE_CODES], "causabas string").select(
         R.recode_cause("causabas").alias("causabas"))
-    return dims.icd_dimension(codes, files.chapters_frame(spark))
+    return dims.icd_dimension(dims.with_row_bound(codes, len(FX.FIXTURE_CODES)), files.chapters_frame(spark))
 
 
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    return Inputs(
-        raw=FX.sim_raw(spark, sf_dir),
-        municipalities=FX.municipality_dim(spark, sf_dir),
-        icd=fixture_icd(spark),
-        garbage=FX.garbage_codes(spark),
-        states=FX.state_lookup(spark, sf_dir),
-    )
+    k = _memo(spark, "inputs", sf_dir)
+    if k not in _plans:
+        _plans[k] = Inputs(
+            raw=FX.sim_raw(spark, sf_dir),
+            municipalities=FX.municipality_dim(spark, sf_dir),
+            icd=fixture_icd(spark),
+            garbage=FX.garbage_codes(spark),
+            states=FX.state_lookup(spark, sf_dir),
+        )
+    return _plans[k]
 
 
 def fixture_classified(spark: SparkSession, sf_dir: str, candidates_only: bool = True) -> DataFrame:
@@ -53,18 +65,24 @@ def fixture_classified(spark: SparkSession, sf_dir: str, candidates_only: bool =
 
 
 def fixture_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    inp = fixture_inputs(spark, sf_dir)
-    return M.build_marts(classify(inp.raw, inp.municipalities, inp.icd), inp.garbage)
+    k = _memo(spark, "marts", sf_dir)
+    if k not in _plans:
+        inp = fixture_inputs(spark, sf_dir)
+        _plans[k] = M.build_marts(classify(inp.raw, inp.municipalities, inp.icd), inp.garbage)
+    return _plans[k]
 
 
 def era_marts(spark: SparkSession, sf_dir: str, era: str) -> dict[str, DataFrame]:
     """Marts of one era only (history or preliminary files), as the two
     programs of the definition produce them before they are merged."""
-    inp = fixture_inputs(spark, sf_dir)
-    first = S.FIRST_PRELIMINARY_YEAR
-    year_filter = F.col("ano_arquivo") < first if era == S.HISTORY else F.col("ano_arquivo") >= first
-    c = classify(inp.raw.where(year_filter), inp.municipalities, inp.icd)
-    return M.build_marts(c, inp.garbage)
+    k = _memo(spark, "era_marts", sf_dir, era)
+    if k not in _plans:
+        inp = fixture_inputs(spark, sf_dir)
+        first = S.FIRST_PRELIMINARY_YEAR
+        year_filter = F.col("ano_arquivo") < first if era == S.HISTORY else F.col("ano_arquivo") >= first
+        c = classify(inp.raw.where(year_filter), inp.municipalities, inp.icd)
+        _plans[k] = M.build_marts(c, inp.garbage)
+    return _plans[k]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -122,4 +122,5 @@ def read_interval_table(spark: SparkSession, path: str) -> DataFrame:
 
 def chapters_frame(spark: SparkSession) -> DataFrame:
     """The 22 ICD-10 chapters as an interval table (CATINIC, CATFIM, DESCRICAO)."""
-    return spark.createDataFrame(S.ICD_CHAPTERS, INTERVAL_SCHEMA)
+    from ..operators.dims import with_row_bound
+    return with_row_bound(spark.createDataFrame(S.ICD_CHAPTERS, INTERVAL_SCHEMA), len(S.ICD_CHAPTERS))

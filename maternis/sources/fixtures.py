@@ -34,13 +34,25 @@ def _pick(values: list, index: Column) -> Column:
 
 def sim_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw certificates (all text) plus the integer file year ``ano_arquivo``."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    # A benchmark file with a single row group scans as one task; landed
+    # registry files come in many. Spread such an input over the cores
+    # (round-robin on five numeric columns) so the fixture behaves like them.
+    # Inputs that already have enough splits are left alone: no shuffle.
+    cores = spark.sparkContext.defaultParallelism
+    if li.rdd.getNumPartitions() < cores:
+        li = li.repartition(cores)
     o, p, s, n = (F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"),
                   F.col("l_linenumber"))
     year = F.lit(1996) + (o + s) % 29
     age_code = (p + o) % 17
     two_digit_qty = F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0")
-    return li.select(
+    # The columns come out of a generator (inline of a one-element array), so
+    # they are plain attributes downstream, as a scan of landed files gives:
+    # filters on them are not pushed below it by substituting these
+    # expressions into every reference of the classification predicates.
+    return li.select(F.inline(F.array(F.struct(
         F.when((o + n) % 5 == 0, F.lit("1")).otherwise(F.lit("2")).alias("sexo"),
         _pick(FIXTURE_CODES, p % 38).alias("causabas"),
         _pick(["1", "2", "9", None, "8"], F.call_function("div", o, F.lit(8)) % 5).alias("obitograv"),
@@ -60,7 +72,7 @@ def sim_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(["1", "2", "9", None, "3"], (s + n) % 5).alias("fonteinv"),
         F.when(s % 20 == 0, F.lit(None).cast("string")).otherwise(s.cast("string")).alias("codmunres"),
         year.cast("int").alias("ano_arquivo"),
-    )
+    ))))
 
 
 def _nation_code(c: Column) -> Column:
@@ -97,4 +109,32 @@ def state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def garbage_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in FIXTURE_GARBAGE_CODES], "causabas string")
+    from ..operators.dims import with_row_bound
+    return with_row_bound(spark.createDataFrame([(c,) for c in FIXTURE_GARBAGE_CODES], "causabas string"),
+                          len(FIXTURE_GARBAGE_CODES))
+
+
+def letter_blocks(chapters: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Nested interval fixture built by rule: every chapter that spans several
+    initial letters is split into one block per letter (e.g. A00-B99 into
+    A00-A99 and B00-B99). Each block lies inside its chapter, so a category
+    matches one or two nested intervals and the narrowest is unique."""
+    out = []
+    for lo, hi, _label in chapters:
+        if lo[0] == hi[0]:
+            continue
+        for code in range(ord(lo[0]), ord(hi[0]) + 1):
+            letter = chr(code)
+            b_lo = lo if letter == lo[0] else f"{letter}00"
+            b_hi = hi if letter == hi[0] else f"{letter}99"
+            out.append((b_lo, b_hi, f"Bloco {b_lo}-{b_hi}"))
+    return out
+
+
+def nested_intervals(spark: SparkSession) -> DataFrame:
+    """Chapters plus their letter blocks, as one interval table."""
+    from .. import schema as S
+    from .files import INTERVAL_SCHEMA
+    from ..operators.dims import with_row_bound
+    rows = S.ICD_CHAPTERS + letter_blocks(S.ICD_CHAPTERS)
+    return with_row_bound(spark.createDataFrame(rows, INTERVAL_SCHEMA), len(rows))
