@@ -114,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mart_onm": lambda s, d: _marts(s, d)["onm"],
         "mart_uf": lambda s, d: _marts(s, d)["uf"],
         "mart_uf_pivot": lambda s, d: M.mart_uf_pivot(_marts(s, d)["om"], _marts(s, d)["onm"]),
+        "mart_uf_from_marts": lambda s, d: M.mart_uf(_marts(s, d)["om"], _marts(s, d)["onm"]),
         # merge of history and preliminary marts
         "append_history_prelim": lambda s, d: append(P.era_marts(s, d, S.HISTORY)["om"],
                                                      P.era_marts(s, d, S.PRELIMINARY)["om"]),
@@ -216,6 +217,7 @@ gm AS (
         "mart_onm": W("SELECT * FROM onm"),
         "mart_uf": W(f"SELECT {uf_cols} FROM uf_mart"),
         "mart_uf_pivot": W(f"SELECT {uf_cols} FROM uf_mart"),
+        "mart_uf_from_marts": W(f"SELECT {uf_cols} FROM uf_mart"),
         "append_history_prelim": W("SELECT * FROM om WHERE ano <= 2022 UNION ALL SELECT * FROM om WHERE ano >= 2023"),
         "natural_full_join": W(
             "SELECT COALESCE(h.codigo, p.codigo) AS codigo, COALESCE(h.municipio, p.municipio) AS municipio, "

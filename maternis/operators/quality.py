@@ -48,7 +48,7 @@ def invariant_violations(marts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     onm_tot = onm.groupBy("ano").agg(F.sum("obitos").alias("d"))
     return {
         "om_vs_ac": totals.where(F.col("obitos_om") != F.col("linhas_ac")),
-        "gc_not_in_om": gc.join(om, on=list(gc.columns), how="left_anti"),
+        "gc_not_in_om": gc.exceptAll(om.select(*gc.columns)),
         "uf_vs_marts": uf_tot.join(om_tot.join(onm_tot, "ano", "full"), "ano", "full")
         .where(~F.coalesce(uf_tot.m, F.lit(0)).eqNullSafe(F.coalesce(om_tot.m, F.lit(0)))
                | ~F.coalesce(uf_tot.d, F.lit(0)).eqNullSafe(F.coalesce(onm_tot.d, F.lit(0)))),

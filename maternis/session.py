@@ -29,6 +29,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Local/test session: UI off, small shuffle fan-out, AQE on, huge
     generated methods JIT-compiled (takes effect when this call starts the JVM)."""
     b = (SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
          .config("spark.executor.extraJavaOptions", JVM_OPTIONS))
     if master:

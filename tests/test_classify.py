@@ -1,0 +1,74 @@
+"""Maternal (F1) and not-considered (F2) predicates, candidate pre-filter, marts."""
+
+from conftest import icd, municipalities, raw_rows
+
+from maternis.plans import marts as M
+from maternis.plans.classify import classify
+
+CODES = ["B20", "O98", "F53", "O95X", "O96", "O979", "B24", "A34", "M830", "F530", "D392", "E230",
+         "O000", "O959", "O980", "O999", "O935", "I219"]
+
+
+def _flags(spark, rows, candidates_only=True):
+    c = classify(raw_rows(spark, rows), municipalities(spark), icd(spark, CODES + ["O95"]),
+                 candidates_only=candidates_only)
+    return {r["causabas"] if r["causabas"] else None: (r["materno"], r["desconsiderado"])
+            for r in c.select("causabas", "materno", "desconsiderado").collect()}
+
+
+def test_three_character_codes_outside_ranges(spark):
+    rows = [{"causabas": c, "obitograv": "1", "obitopuerp": "1"} for c in ["B20", "O98", "F53", "O95X", "O96", "O979"]]
+    got = _flags(spark, rows)
+    assert all(v == (False, True) for v in got.values()), got
+
+
+def test_conditional_causes(spark):
+    rows = [{"causabas": "B24", "obitograv": "1", "obitopuerp": "3"}]
+    assert _flags(spark, rows)["B24"] == (True, False)
+    rows = [{"causabas": "B24", "obitograv": "2", "obitopuerp": "3"}]
+    assert _flags(spark, rows, candidates_only=False)["B24"] == (False, False)
+    for code in ["A34", "M830", "F530"]:
+        assert _flags(spark, [{"causabas": code, "obitograv": "9", "obitopuerp": "2"}])[code] == (False, True)
+        assert _flags(spark, [{"causabas": code, "obitograv": "9", "obitopuerp": "3"}])[code] == (True, False)
+    for code in ["D392", "E230"]:
+        assert _flags(spark, [{"causabas": code, "obitograv": "9", "obitopuerp": "1"}])[code] == (True, False)
+        assert _flags(spark, [{"causabas": code, "obitograv": "2", "obitopuerp": "2"}])[code] == (False, True)
+
+
+def test_ranges_and_recode(spark):
+    rows = [{"causabas": c, "obitograv": "2", "obitopuerp": "3"} for c in ["O000", "O959", "O980", "O999", "O935"]]
+    got = _flags(spark, rows)
+    assert got == {"O000": (True, False), "O959": (True, False), "O980": (True, False),
+                   "O999": (True, False), "O95": (True, False)}
+
+
+def test_null_cause_in_no_mart_and_male_excluded(spark):
+    rows = [{"causabas": None, "obitograv": "1"}, {"causabas": "O000", "sexo": "1"}]
+    c = classify(raw_rows(spark, rows), municipalities(spark), icd(spark, CODES), candidates_only=False)
+    got = [(r.materno, r.desconsiderado) for r in c.collect()]
+    assert got[0] == (None, None)
+    assert got[1] == (False, False)
+    marts = M.build_marts(c, spark.createDataFrame([("O95",)], "causabas string"))
+    assert marts["om"].count() == 0 and marts["onm"].count() == 0 and marts["ac"].count() == 0
+
+
+def test_candidate_prefilter_is_exact_superset(spark):
+    import itertools
+    grav = ["1", "2", "9", None, "8"]
+    puerp = ["1", "2", "3", "9", None, "0", "4", "8"]
+    rows = [{"causabas": c, "obitograv": g, "obitopuerp": p, "sexo": s}
+            for c, g, p, s in itertools.product(CODES + [None], grav, puerp, ["1", "2"])]
+    raw = raw_rows(spark, rows)
+    full = classify(raw, municipalities(spark), icd(spark, CODES), candidates_only=False)
+    pre = classify(raw, municipalities(spark), icd(spark, CODES), candidates_only=True)
+    key = ["causabas", "obitograv", "obitopuerp", "sexo"]
+    a = sorted(tuple(r) for r in full.where("materno or desconsiderado").select(*key).collect())
+    b = sorted(tuple(r) for r in pre.where("materno or desconsiderado").select(*key).collect())
+    assert a == b and len(a) > 0
+
+
+def test_unmatched_municipality_keeps_null_geography(spark):
+    rows = [{"codmunres": "99"}, {"codmunres": None}, {"codmunres": "2"}]
+    c = classify(raw_rows(spark, rows), municipalities(spark), icd(spark, CODES))
+    got = sorted((r.codmunres or "", r.municipio or "") for r in c.collect())
+    assert got == [("", ""), ("2", "Belém"), ("99", "")]
