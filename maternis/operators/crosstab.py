@@ -5,7 +5,8 @@ The contingency table is one ``cube`` (partial aggregation map-side; the
 output has (|rows|+1) x (|cols|+1) cells). Margins are told apart from a
 null ("Unknown") level by ``grouping()``, never by ``isNull``. Row and column
 denominators are windows partitioned by the margin they divide by; the cell
-denominator is a scalar subquery, so no step gathers the table in one task.
+denominator is the cube's own grand-total cell. Only the small cube output is
+windowed; the certificates are read once.
 """
 
 from __future__ import annotations
@@ -88,12 +89,15 @@ def crosstab_table(ac: DataFrame, row: str, col: str, percent: str, p: ReportPar
     elif percent == "row":
         d = F.sum(F.when(F.col("_gc") == 0, n)).over(Window.partitionBy("_gr", "_r"))
     else:
-        # Grand total = the (Total, Total) cell, read back as a scalar
-        # subquery (the cube's exchange is reused, not recomputed).
-        d = cells.where((F.col("_gr") == 1) & (F.col("_gc") == 1)).select(F.max("obitos")).scalar()
-    return cells.select(
+        # Grand total = the cube's own (Total, Total) cell. The window spans
+        # the cube *output* only, (|rows|+1) x (|cols|+1) cells of two
+        # categorical variables from the fixed dictionary, so it never holds
+        # certificates, and the data is read once (a scalar subquery would
+        # recompute the cube in a second pass).
+        d = F.max(F.when((F.col("_gr") == 1) & (F.col("_gc") == 1), n)).over(Window.partitionBy())
+    return cells.withColumn("_d", d).select(
         F.when(F.col("_gr") == 1, F.lit(TOTAL_LABEL)).otherwise(F.coalesce("_r", F.lit(UNKNOWN_LABEL))).alias("variavel_linha"),
         F.when(F.col("_gc") == 1, F.lit(TOTAL_LABEL)).otherwise(F.coalesce("_c", F.lit(UNKNOWN_LABEL))).alias("variavel_coluna"),
         n.alias("obitos"),
-        percent_tenths(n, d).alias("percentual"),
+        percent_tenths(n, F.col("_d")).alias("percentual"),
     )
