@@ -18,7 +18,7 @@ MAX_INTERVAL_ROWS = 10_000
 
 
 _STATIC_BOUND = "_maternis_max_rows"
-_checked: dict[tuple[int, int], bool] = {}
+_checked: dict[tuple, bool] = {}
 
 
 def with_row_bound(df: DataFrame, max_rows: int) -> DataFrame:
@@ -38,7 +38,7 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     static = getattr(df, _STATIC_BOUND, None)
     if static is not None:
         return static <= max_rows
-    key = (df.semanticHash(), max_rows)
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
     if key not in _checked:
         _checked[key] = df.limit(max_rows + 1).count() <= max_rows
     return _checked[key]
