@@ -286,7 +286,7 @@ gm AS (
             f"SELECT DISTINCT municipio FROM state_lookup WHERE uf = {O._q(STATE)} AND municipio IS NOT NULL"),
         "series_count": W(
             "SELECT CAST(COUNT(DISTINCT variavel_coluna) + COALESCE(MAX(CASE WHEN variavel_coluna IS NULL "
-            "THEN 1 ELSE 0 END), 0) AS INTEGER) AS n_series FROM (SELECT ano AS variavel_coluna FROM ac "
+            "THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_series FROM (SELECT ano AS variavel_coluna FROM ac "
             f"WHERE ano BETWEEN {AC_YEARS[0]} AND {AC_YEARS[1]} AND racacor IS NOT NULL AND idade BETWEEN 10 AND 49 "
             f"AND regiao IN ({', '.join(O._q(r) for r in ALL_REGIONS)}) GROUP BY racacor, ano)"),
         "dupes_documents": "SELECT text, COUNT(*) AS dupe_count FROM documents GROUP BY text HAVING COUNT(*) > 1",

@@ -71,7 +71,7 @@ _NAMES = sorted(_E.queries())
 def test_query_matches_oracle(spark, name):
     import sys
     sys.path.insert(0, os.path.join(ROOT, "tools"))
-    from check_oracle import digest
+    from check_oracle import digest, type_mismatches
     df = _E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     sql = _E.oracle_sql()[name]
@@ -79,5 +79,6 @@ def test_query_matches_oracle(spark, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert type_mismatches(df, res) == []
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
