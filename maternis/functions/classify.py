@@ -55,11 +55,18 @@ def death_period(pregnancy: Column | str = "obitograv", puerperium: Column | str
 
 def maternal_cause(cause: Column | str = "causabas", pregnancy: Column | str = "obitograv",
                    puerperium: Column | str = "obitopuerp") -> Column:
-    """Cause clause of the official maternal-death definition (three-valued:
-    a null cause gives null, so the row is dropped both by F1 and by its negation)."""
+    """Cause clause of the official maternal-death definition.
+
+    Code tests are null-safe (``<=>``), so the clause gives the same answer on
+    the raw codes as on the recoded/filled ones: the O935/O937 -> O95 recode
+    stays inside O000..O959, and the fills only turn null/0/4/8 into 9, never
+    into 1 or 2. It can therefore be evaluated before any recode, and a filter
+    on it reaches the scan. A null cause gives null (three-valued), so the row
+    is dropped both by F1 and by its negation.
+    """
     c, g, p = _c(cause), _c(pregnancy), _c(puerperium)
-    pregnant_or_early = (g == "1") | (p == "1")
-    not_late = p != "2"
+    pregnant_or_early = g.eqNullSafe("1") | p.eqNullSafe("1")
+    not_late = ~p.eqNullSafe("2")
     return (
         _between(c, "O000", "O959")
         | _between(c, "O980", "O999")
@@ -77,14 +84,16 @@ def is_female(sex: Column | str = "sexo") -> Column:
 
 
 def is_maternal(cause="causabas", pregnancy="obitograv", puerperium="obitopuerp", sex="sexo") -> Column:
-    """female and the maternal cause clause."""
+    """female and the maternal cause clause (raw or recoded codes alike)."""
     return is_female(sex) & maternal_cause(cause, pregnancy, puerperium)
 
 
 def is_not_considered(cause="causabas", pregnancy="obitograv", puerperium="obitopuerp", sex="sexo") -> Column:
-    """female, died pregnant or in the puerperium, cause not maternal."""
+    """female, died pregnant or in the puerperium, cause not maternal
+    (raw or recoded codes alike)."""
     g, p = _c(pregnancy), _c(puerperium)
-    return is_female(sex) & ((g == "1") | p.isin("1", "2")) & ~maternal_cause(cause, pregnancy, puerperium)
+    return (is_female(sex) & (g.eqNullSafe("1") | p.eqNullSafe("1") | p.eqNullSafe("2"))
+            & ~maternal_cause(cause, pregnancy, puerperium))
 
 
 def raw_candidate(cause="causabas", pregnancy="obitograv", puerperium="obitopuerp", sex="sexo") -> Column:

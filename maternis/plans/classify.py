@@ -3,7 +3,8 @@
 Stages follow the dependency levels of the derivation, because a Spark
 projection reads the *input* values of the columns it overwrites:
 
-1. recode: cause recode, code fills, year from the date, age decode, era;
+1. recode: F1/F2 flags (on raw codes), cause recode, code fills, year from
+   the date, age decode, era;
 2. derive: labels that read the stage-1 values (fertile age reads the decoded
    age, the type reads the recoded cause, the period reads the filled codes);
 3. enrich: municipality and ICD dimension joins (size-checked broadcasts).
@@ -35,6 +36,10 @@ def recode_stage(raw: DataFrame, first_preliminary_year: int = S.FIRST_PRELIMINA
     era = era_of(F.col("ano_arquivo"), first_preliminary_year)
     return df.withColumns({
         "era": era,
+        # F1/F2 read the raw codes (they are invariant under the recodes
+        # below), so filters on them are pushed down over raw columns only.
+        "materno": C.is_maternal(),
+        "desconsiderado": C.is_not_considered(),
         "causabas": R.recode_cause("causabas"),
         "obitograv": R.fill_pregnancy_code("obitograv"),
         "obitopuerp": R.fill_puerperium_code("obitopuerp", era),
@@ -73,8 +78,4 @@ def classify(raw: DataFrame, municipalities: DataFrame, icd: DataFrame,
         raw = raw.where(C.raw_candidate())
     df = derive_stage(recode_stage(raw, first_preliminary_year))
     df = dims.enrich_municipality(df, municipalities)
-    df = dims.enrich_icd(df, icd)
-    return df.withColumns({
-        "materno": C.is_maternal(),
-        "desconsiderado": C.is_not_considered(),
-    })
+    return dims.enrich_icd(df, icd)
