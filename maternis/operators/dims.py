@@ -24,7 +24,10 @@ _checked: dict[tuple, bool] = {}
 def with_row_bound(df: DataFrame, max_rows: int) -> DataFrame:
     """Declare a static row bound, e.g. for a table built from a fixed list.
     ``bounded_broadcast`` then needs no job to prove the size."""
-    setattr(df, _STATIC_BOUND, max_rows)
+    try:
+        setattr(df, _STATIC_BOUND, max_rows)
+    except AttributeError:  # a DataFrame class without instance attributes: checked by a job instead
+        pass
     return df
 
 

@@ -10,12 +10,14 @@ def write_mart(df: DataFrame, path: str, partition_by: str = "ano", sort_by: lis
 
     ``partitionOverwriteMode=dynamic`` is set for the write, so only the years
     present in ``df`` are replaced: rewriting the preliminary years leaves the
-    fixed history untouched. Rows are range-partitioned on (year, ``sort_by``),
-    so a year holding a large share of the rows is split over many tasks
-    instead of landing in one, and each task writes few files.
+    fixed history untouched. Rows are range-partitioned on (year, ``sort_by``,
+    then the remaining columns), so a year, or even one municipality-year,
+    holding a large share of the rows is split over many tasks instead of
+    landing in one, while each task still writes to few year folders.
     """
-    keys = [partition_by] + list(sort_by or [])
-    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    lead = [partition_by] + list(sort_by or [])
+    keys = lead + [c for c in df.columns if c not in lead]
+    out = df.repartitionByRange(*keys).sortWithinPartitions(*lead)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("maxRecordsPerFile", 5_000_000)
      .partitionBy(partition_by).parquet(path))

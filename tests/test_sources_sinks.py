@@ -81,3 +81,32 @@ def test_landed_raw_partition_pruning(spark):
     assert {r.ano_arquivo for r in df.select("ano_arquivo").distinct().collect()} == {2023, 2024}
     assert "PartitionFilters" in df._jdf.queryExecution().executedPlan().toString()
     assert set(S.RAW_COLUMNS) <= set(df.columns)
+
+
+def test_marts_push_candidate_filter_into_landed_scan(spark):
+    """On landed Parquet (plain raw columns) the candidate pre-filter reaches
+    the scan as pushed filters and the year range as partition filters."""
+    from maternis.plans import marts as M
+    from maternis.plans import pipeline as P
+    from maternis.plans.classify import classify
+    from maternis.sources import fixtures as FX
+    out = tempfile.mkdtemp(prefix="maternis-test-") + "/raw"
+    FX.sim_raw(spark, SF_SMALL).write.partitionBy("ano_arquivo").parquet(out)
+    inp = P.fixture_inputs(spark, SF_SMALL)
+    raw = files.read_landed_raw(spark, out, 2015, 2024)
+    om = M.mart_om(classify(raw, inp.municipalities, inp.icd))
+    plan = om._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "FileScan parquet" in line and "sexo" in line][0]
+    assert "PushedFilters: [IsNotNull(sexo), EqualTo(sexo,2)" in scan
+    assert "PartitionFilters: [isnotnull(ano_arquivo" in scan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+    expected = P.fixture_marts(spark, SF_SMALL)["om"].where("ano between 2015 and 2024")
+    assert om.exceptAll(expected).count() == 0 and expected.exceptAll(om).count() == 0
+
+
+def test_format_number_br(spark):
+    from maternis.functions.classify import format_number_br, long_date_pt
+    df = spark.createDataFrame([(1234567.891,)], "x double")
+    assert df.select(format_number_br("x", 2)).first()[0] == "1.234.567,89"
+    d = spark.createDataFrame([("2024-03-05",)], "d string").select(F.to_date("d").alias("d"))
+    assert d.select(long_date_pt("d")).first()[0] == "05 de março de 2024"
