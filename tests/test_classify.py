@@ -72,3 +72,34 @@ def test_unmatched_municipality_keeps_null_geography(spark):
     c = classify(raw_rows(spark, rows), municipalities(spark), icd(spark, CODES))
     got = sorted((r.codmunres or "", r.municipio or "") for r in c.collect())
     assert got == [("", ""), ("2", "Belém"), ("99", "")]
+
+
+def test_predicates_invariant_under_recodes(spark):
+    """F1/F2 on raw codes == F1/F2 on the recoded and filled codes, for every
+    combination of cause, pregnancy and puerperium codes, in both eras."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from maternis.functions import classify as C
+    from maternis.plans.classify import recode_stage
+    grav = ["1", "2", "9", None, "8", "0"]
+    puerp = ["1", "2", "3", "9", None, "0", "4", "8"]
+    rows = [{"causabas": c, "obitograv": g, "obitopuerp": p, "dtobito": d}
+            for c, g, p, d in itertools.product(CODES + ["O937", None, "X954"], grav, puerp,
+                                                ["01012010", "01012024"])]
+    staged = recode_stage(raw_rows(spark, rows))
+    recoded_m = C.is_female() & (
+        # the definition, written on the recoded cause and filled codes
+        ((F.col("causabas") >= "O000") & (F.col("causabas") <= "O959"))
+        | ((F.col("causabas") >= "O980") & (F.col("causabas") <= "O999"))
+        | ((F.col("causabas") == "A34") & (F.col("obitopuerp") != "2"))
+        | ((F.col("causabas") >= "B200") & (F.col("causabas") <= "B249")
+           & ((F.col("obitograv") == "1") | (F.col("obitopuerp") == "1")))
+        | ((F.col("causabas") == "D392") & ((F.col("obitograv") == "1") | (F.col("obitopuerp") == "1")))
+        | ((F.col("causabas") == "E230") & ((F.col("obitograv") == "1") | (F.col("obitopuerp") == "1")))
+        | ((F.col("causabas") >= "F530") & (F.col("causabas") <= "F539") & (F.col("obitopuerp") != "2"))
+        | ((F.col("causabas") == "M830") & (F.col("obitopuerp") != "2")))
+    out = staged.select("materno", recoded_m.alias("m2")).collect()
+    assert all(r.materno == r.m2 for r in out)
+    assert sum(1 for r in out if r.materno) > 0
