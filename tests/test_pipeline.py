@@ -82,3 +82,20 @@ def test_query_matches_oracle(spark, name):
     assert type_mismatches(df, res) == []
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
+
+
+def test_crosstab_cells_sum_to_margins(spark):
+    from maternis.operators import crosstab as X
+    from maternis.plans import report as RP
+    ac = P.fixture_marts(spark, SF_SMALL)["ac"]
+    p = RP.ReportParams(years=(1996, 2024), regions=("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+    cells = {(r.variavel_linha, r.variavel_coluna): r.obitos
+             for r in X.crosstab_table(ac, "racacor", "periodo_do_obito", "cell", p).collect()}
+    rows = {k[0] for k in cells if k[0] != "Total"}
+    cols = {k[1] for k in cells if k[1] != "Total"}
+    grand = cells[("Total", "Total")]
+    assert grand == sum(v for (r, c), v in cells.items() if r != "Total" and c != "Total")
+    for r in rows:
+        assert cells[(r, "Total")] == sum(cells.get((r, c), 0) for c in cols)
+    for c in cols:
+        assert cells[("Total", c)] == sum(cells.get((r, c), 0) for r in rows)
