@@ -104,14 +104,19 @@ def narrowest_interval(matches: DataFrame, key: str, lo: str = "CATINIC") -> Dat
     return matches.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def icd_dimension(causes: DataFrame, chapters: DataFrame, key: str = "causabas") -> DataFrame:
+def icd_dimension(causes: DataFrame, chapters: DataFrame, key: str = "causabas",
+                  assume_distinct: bool = False) -> DataFrame:
     """causabas -> causabas_categoria, capitulo_cid10, for every distinct cause.
 
     The category is the first three characters; the chapter is the chapter
-    interval containing it (null in the gaps between chapters).
+    interval containing it (null in the gaps between chapters). Pass
+    ``assume_distinct`` for a code list known to be duplicate-free (skips a
+    shuffle).
     """
-    distinct_causes = (causes.select(key).where(F.col(key).isNotNull()).distinct()
-                       .withColumn("causabas_categoria", F.substring(F.col(key), 1, 3)))
+    codes = causes.select(key).where(F.col(key).isNotNull())
+    if not assume_distinct:
+        codes = codes.distinct()
+    distinct_causes = codes.withColumn("causabas_categoria", F.substring(F.col(key), 1, 3))
     iv = bounded_broadcast(chapters.select("CATINIC", "CATFIM", "DESCRICAO"), MAX_INTERVAL_ROWS)
     cat = F.col("causabas_categoria")
     out = distinct_causes.join(iv, (cat >= F.col("CATINIC")) & (cat <= F.col("CATFIM")), "left").select(
