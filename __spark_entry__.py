@@ -40,6 +40,7 @@ SOME_REGIONS = ("AMERICA", "ASIA")
 ALL_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 STATE = "NATION_20"
 MUNICIPALITY = "Supplier#000000001"
+ONM_STATE = "NATION_11"
 AC_YEARS = (2015, 2024)
 
 
@@ -140,7 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_onm_nacional_noext": lambda s, d: RP.not_considered_report(
             _marts(s, d)["onm"], RP.ReportParams(year=YEAR, exclude_external=True)),
         "report_onm_state": lambda s, d: RP.not_considered_report(
-            _marts(s, d)["onm"], RP.ReportParams(year=YEAR, level=RP.STATE, state=STATE), FX.state_lookup(s, d)),
+            _marts(s, d)["onm"], RP.ReportParams(year=YEAR, level=RP.STATE, state=ONM_STATE), FX.state_lookup(s, d)),
         "report_uf": lambda s, d: RP.uf_report(_marts(s, d)["uf"], YEAR),
         "nested_rollup": lambda s, d: rollup.nested_rollup(_om_table(s, d)),
         # cross analysis
@@ -260,7 +261,7 @@ gm AS (
         "report_onm_nacional_noext": O.report_sql(
             "onm", "all", YEAR, O.ONM_ATTRS, O.COMMON_ONM,
             extra_where=f" AND capitulo_cid10 <> {O._q(S.EXTERNAL_CHAPTER)}"),
-        "report_onm_state": O.report_sql("onm", "state", YEAR, O.ONM_ATTRS, O.COMMON_ONM, state=STATE),
+        "report_onm_state": O.report_sql("onm", "state", YEAR, O.ONM_ATTRS, O.COMMON_ONM, state=ONM_STATE),
         "report_uf": W(
             "SELECT uf, regiao, ano, " + ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in S.UF_COUNT_COLUMNS)
             + f" FROM uf_mart WHERE ano = {YEAR} AND idade BETWEEN 10 AND 49 GROUP BY uf, regiao, ano"),
