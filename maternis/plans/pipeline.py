@@ -103,6 +103,8 @@ def run_batch(spark: SparkSession, inputs: Inputs, out_root: str, years: tuple[i
     written partitioned by year with dynamic overwrite, so a run over the
     preliminary years replaces exactly those years.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     raw = inputs.raw
     if years is not None:
         raw = raw.where(F.col("ano_arquivo").between(*years))

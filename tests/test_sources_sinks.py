@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maternis import schema as S
 from maternis.sources import files
-from maternis.sources.sinks import export_csv, write_mart
+from maternis.sources.sinks import export_csv, write_mart, write_published_csv
 
 
 def test_clean_names():
@@ -110,3 +110,11 @@ def test_format_number_br(spark):
     assert df.select(format_number_br("x", 2)).first()[0] == "1.234.567,89"
     d = spark.createDataFrame([("2024-03-05",)], "d string").select(F.to_date("d").alias("d"))
     assert d.select(long_date_pt("d")).first()[0] == "05 de março de 2024"
+
+
+def test_published_csv_comma_and_header(spark):
+    out = tempfile.mkdtemp(prefix="maternis-test-") + "/pub"
+    write_published_csv(spark.createDataFrame([("N01", 2.5)], "uf string, x double"), out)
+    text = "".join(open(os.path.join(out, f), encoding="utf-8").read()
+                   for f in sorted(os.listdir(out)) if f.endswith(".csv"))
+    assert "uf,x" in text and "N01,2.5" in text
