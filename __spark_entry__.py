@@ -152,6 +152,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                           "row", _ac_params()),
         "crosstab_pct_cell": lambda s, d: X.crosstab_table(_marts(s, d)["ac"], "est_civil", "capitulo_cid10",
                                                            "cell", _ac_params(regions=SOME_REGIONS)),
+        "crosstab_state_level": lambda s, d: X.crosstab_table(
+            _marts(s, d)["ac"], "escolaridade", "ano", "column",
+            RP.ReportParams(years=AC_YEARS, level=RP.STATE, state=STATE), FX.state_lookup(s, d)),
+        "crosstab_regional_level": lambda s, d: X.crosstab_long(
+            _marts(s, d)["ac"], "necropsia", "assistencia_med",
+            RP.ReportParams(years=AC_YEARS, level=RP.REGIONAL, region="ASIA")),
+        "report_om_regions_table": lambda s, d: RP.report_table(RP.maternal_report(
+            _marts(s, d)["om"], RP.ReportParams(year=YEAR, regions=SOME_REGIONS)), RP.NATIONAL),
         # domains
         "facet_domain": lambda s, d: domains.facet_domain(_marts(s, d)["om"], "racacor"),
         "year_bounds": lambda s, d: domains.year_bounds(_marts(s, d)["om"]),
@@ -281,6 +289,22 @@ gm AS (
         "crosstab_pct_column": O.crosstab_sql("racacor", "ano", "column", AC_YEARS, ALL_REGIONS),
         "crosstab_pct_row": O.crosstab_sql("escolaridade", "periodo_do_obito", "row", AC_YEARS, ALL_REGIONS),
         "crosstab_pct_cell": O.crosstab_sql("est_civil", "capitulo_cid10", "cell", AC_YEARS, SOME_REGIONS),
+        "crosstab_state_level": W(
+            "SELECT CASE WHEN gr = 1 THEN 'Total' ELSE COALESCE(r, 'Unknown') END AS variavel_linha, "
+            "CASE WHEN gc = 1 THEN 'Total' ELSE COALESCE(c, 'Unknown') END AS variavel_coluna, "
+            "CAST(n AS BIGINT) AS obitos, CASE WHEN d > 0 THEN CAST((2000 * n + d) // (2 * d) AS DOUBLE) / 10.0 END "
+            "AS percentual FROM (SELECT *, SUM(CASE WHEN gr = 0 THEN n END) OVER (PARTITION BY gc, c) AS d FROM ("
+            "SELECT r, c, COUNT(*) AS n, GROUPING(r) AS gr, GROUPING(c) AS gc FROM ("
+            "SELECT CAST(escolaridade AS VARCHAR) AS r, CAST(ano AS VARCHAR) AS c FROM ac "
+            f"WHERE ano BETWEEN {AC_YEARS[0]} AND {AC_YEARS[1]} AND racacor IS NOT NULL AND idade BETWEEN 10 AND 49 "
+            f"AND investigacao_cmm IN {O.ALL_COMMITTEE} AND {O.state_in(STATE)}) GROUP BY CUBE (r, c)))"),
+        "crosstab_regional_level": W(
+            "SELECT necropsia AS variavel_linha, assistencia_med AS variavel_coluna, COUNT(*) AS obitos FROM ac "
+            f"WHERE ano BETWEEN {AC_YEARS[0]} AND {AC_YEARS[1]} AND racacor IS NOT NULL AND idade BETWEEN 10 AND 49 "
+            "AND regiao = 'ASIA' GROUP BY ALL"),
+        "report_om_regions_table": W(
+            f"SELECT {om_table_cols} FROM ("
+            + O.report_select("om", "regions", YEAR, O.OM_ATTRS, O.COMMON_OM, regions=SOME_REGIONS) + ")"),
         "facet_domain": W("SELECT DISTINCT racacor FROM om WHERE racacor IS NOT NULL"),
         "year_bounds": W("SELECT MIN(ano) AS ano_min, MAX(ano) AS ano_max FROM om"),
         "municipalities_of_state": W(
