@@ -7,8 +7,6 @@ certificate.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +114,3 @@ def build_marts(classified: DataFrame, garbage: DataFrame) -> dict[str, DataFram
         "onm": onm,
         "uf": mart_uf_single_pass(classified),
     }
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
