@@ -166,7 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "municipalities_of_state": lambda s, d: domains.municipalities_of_state(FX.state_lookup(s, d), STATE),
         "series_count": lambda s, d: domains.series_count(_crosstab_long(s, d), "variavel_coluna"),
         # quality
-        "dupes_documents": lambda s, d: quality.dupes(FX.table(s, d, "documents").select("text")),
+        "dupes_documents": lambda s, d: quality.dupes_hashed(FX.table(s, d, "documents").select("text")),
         "dupes_om": lambda s, d: quality.dupes(_marts(s, d)["om"]),
         "null_audit": lambda s, d: quality.null_audit(_marts(s, d)["ac"]),
         "control_totals": lambda s, d: quality.control_totals(_marts(s, d)["om"], _marts(s, d)["ac"]),

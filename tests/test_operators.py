@@ -146,6 +146,7 @@ def test_domains(spark):
 def test_quality(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1)], "x string, y int")
     assert [(r.x, r.dupe_count) for r in quality.dupes(df).collect()] == [("a", 2)]
+    assert [(r.x, r.dupe_count) for r in quality.dupes_hashed(df).collect()] == [("a", 2)]
     assert quality.null_audit(df).count() == 2
 
 
