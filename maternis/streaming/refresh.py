@@ -6,7 +6,8 @@ file; ``foreachBatch`` classifies the batch and rewrites the marts with
 dynamic partition overwrite, so only the years present in the batch are
 replaced and the fixed history is never touched. The streaming checkpoint
 (in shared storage) records which files were processed, so a restarted or
-failed run resumes without reprocessing or losing a file.
+failed run resumes without losing a file; a batch retried after a failure
+overwrites the same year partitions again, so the writes are idempotent.
 
 Run it with ``trigger(availableNow=True)`` from the monthly schedule: it
 processes what has landed and stops.
