@@ -1,8 +1,10 @@
 """Preliminary-year refresh as a Structured Streaming job.
 
 The preliminary files (one ';' CSV per year, re-published with more records
-every month) land in a folder. A file stream picks up each new or re-published
-file; ``foreachBatch`` classifies the batch and rewrites the marts with
+every month) land in a folder. A file stream picks up each new file (the file
+source tracks files by path, so a re-published year lands under a new name,
+e.g. ``DO24OPEN_20241129.csv``; the year is still read from the ``DOyyOPEN``
+part); ``foreachBatch`` classifies the batch and rewrites the marts with
 dynamic partition overwrite, so only the years present in the batch are
 replaced and the fixed history is never touched. The streaming checkpoint
 (in shared storage) records which files were processed, so a restarted or
