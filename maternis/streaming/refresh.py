@@ -46,14 +46,25 @@ def preliminary_stream(spark: SparkSession, landing_dir: str,
     yy = F.regexp_extract(F.col("_metadata.file_name"), FILE_YEAR_PATTERN, 1)
     file_year = F.when(yy != "", (F.lit(2000) + yy.cast("int"))).otherwise(
         F.substring("dtobito", -4, 4).try_cast("int"))
-    return raw.select(*schema.fieldNames(), file_year.cast("int").alias("ano_arquivo"))
+    return raw.select(*schema.fieldNames(), file_year.cast("int").alias("ano_arquivo"),
+                      F.col("_metadata.file_name").alias("_arquivo"))
+
+
+def latest_file_per_year(batch: DataFrame) -> DataFrame:
+    """Keep, for each file year, only the rows of its latest file (names sort
+    by their date suffix). The latest names come from a one-row-per-year
+    aggregate, kept with a (size-checked) broadcast semi-join, so no year is
+    gathered into one task."""
+    from ..operators.dims import bounded_broadcast
+    latest = batch.groupBy("ano_arquivo").agg(F.max("_arquivo").alias("_arquivo"))
+    return batch.join(bounded_broadcast(latest), on=["ano_arquivo", "_arquivo"], how="left_semi")
 
 
 def refresh_batch(municipalities: DataFrame, icd: DataFrame, garbage: DataFrame,
                   out_root: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: classify the batch and overwrite its years in every mart."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        raw = blanks_to_null(batch, S.RAW_COLUMNS)
+        raw = blanks_to_null(latest_file_per_year(batch), S.RAW_COLUMNS).drop("_arquivo")
         classified = classify(raw, municipalities, icd)
         for name, mart in M.build_marts(classified, garbage).items():
             sort_by = ["codigo"] if "codigo" in mart.columns else ["uf"]

@@ -18,6 +18,12 @@ def test_stream_refresh_matches_batch(spark):
     out, landing, ck = f"{root}/marts", f"{root}/landing", f"{root}/checkpoint"
     P.run_batch(spark, inp, out, years=(1996, 2022))
     hist_before = spark.read.parquet(f"{out}/om").where("ano <= 2022").agg(F.sum("obitos")).first()[0]
+    # an older, partial version of 2023 lands too: only the latest file counts
+    old = inp.raw.where(F.col("ano_arquivo") == 2023).limit(50).select(*S.RAW_COLUMNS)
+    old.coalesce(1).write.option("sep", ";").option("header", True).csv(f"{root}/tmpold")
+    src = [f for f in os.listdir(f"{root}/tmpold") if f.endswith(".csv")][0]
+    os.makedirs(landing, exist_ok=True)
+    os.replace(os.path.join(f"{root}/tmpold", src), os.path.join(landing, "DO23OPEN_20231101.csv"))
     # land one ';' file per preliminary year, named as the publisher names them
     for year in (2023, 2024):
         part = inp.raw.where(F.col("ano_arquivo") == year).select(*S.RAW_COLUMNS)
@@ -25,7 +31,7 @@ def test_stream_refresh_matches_batch(spark):
         part.coalesce(1).write.option("sep", ";").option("header", True).csv(tmp)
         src = [f for f in os.listdir(tmp) if f.endswith(".csv")][0]
         os.makedirs(landing, exist_ok=True)
-        os.replace(os.path.join(tmp, src), os.path.join(landing, f"DO{year % 100:02d}OPEN.csv"))
+        os.replace(os.path.join(tmp, src), os.path.join(landing, f"DO{year % 100:02d}OPEN_20241201.csv"))
     q = start_refresh(spark, landing, out, ck, inp.municipalities, inp.icd, inp.garbage)
     q.awaitTermination(600)
     om = spark.read.parquet(f"{out}/om")
