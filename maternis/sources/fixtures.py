@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(values: list, index: Column) -> Column:
     arr = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.element_at(arr, (index + 1).cast("int"))
+    return F.try_element_at(arr, (index + 1).cast("int"))
 
 
 def sim_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
