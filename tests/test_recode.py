@@ -78,3 +78,44 @@ def test_puerperium_fill_by_era_and_period(spark):
                    "Período inconsistente", None, "Durante a gravidez, parto ou aborto",
                    "Durante o puerpério, até 42 dias", "Durante o puerpério, de 43 dias a menos de 1 ano",
                    "Não informado ou ignorado", "Durante a gravidez, parto ou aborto"]
+
+
+def _model_age(s):
+    """The age rule written out in Python (digit/letter strings only)."""
+    if s is None or s == "999":
+        return 99
+    try:
+        n = float(s)
+    except ValueError:
+        return None
+    if 400 <= n <= 499:
+        try:
+            return int(s[1:3])
+        except ValueError:
+            return None
+    return 0
+
+
+def _model_year(s):
+    if s is None:
+        return None
+    try:
+        return int(s[-4:]) if s[-4:] else None
+    except ValueError:
+        return None
+
+
+def test_randomised_age_and_year_against_model(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from maternis.functions import recode as R
+    rnd = random.Random(20261203)
+    alphabet = "0123456789" * 3 + "4" * 5 + "9" * 3 + "ax"
+    values = [None, ""] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 5))) for _ in range(600)]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = df.select("s", R.decode_age("s").alias("age"), R.year_from_date("s").alias("year")).collect()
+    for r in got:
+        assert r.age == _model_age(r.s), r
+        assert r.year == _model_year(r.s), r
