@@ -103,3 +103,85 @@ def test_predicates_invariant_under_recodes(spark):
     out = staged.select("materno", recoded_m.alias("m2")).collect()
     assert all(r.materno == r.m2 for r in out)
     assert sum(1 for r in out if r.materno) > 0
+
+
+# --- three-valued logic model of the definition ---------------------------
+def _and(*xs):
+    return False if any(x is False for x in xs) else (None if any(x is None for x in xs) else True)
+
+
+def _or(*xs):
+    return True if any(x is True for x in xs) else (None if any(x is None for x in xs) else False)
+
+
+def _not(x):
+    return None if x is None else (not x)
+
+
+def _btw(c, lo, hi):
+    return None if c is None else lo <= c <= hi
+
+
+def _eq(c, v):
+    return None if c is None else c == v
+
+
+def _model(sexo, c, g, p, hist):
+    c = "O95" if c in ("O935", "O937") else c
+    g = "9" if g is None else g
+    p = "9" if (p is None or (hist and p in ("0", "4", "8"))) else p
+    early = g == "1" or p == "1"
+    not_late = p != "2"
+    clause = _or(_btw(c, "O000", "O959"), _btw(c, "O980", "O999"), _and(_eq(c, "A34"), not_late),
+                 _and(_btw(c, "B200", "B249"), early), _and(_eq(c, "D392"), early),
+                 _and(_eq(c, "E230"), early), _and(_btw(c, "F530", "F539"), not_late),
+                 _and(_eq(c, "M830"), not_late))
+    female = _eq(sexo, "2")
+    materno = _and(female, clause)
+    descons = _and(female, g == "1" or p in ("1", "2"), _not(clause))
+    if c is None:
+        tipo = None
+    elif (_btw(c, "B200", "B249") or _btw(c, "O100", "O109") or ("O240" <= c <= "O259" and c != "O244")
+          or c == "O94" or _btw(c, "O980", "O999")):
+        tipo = "Indireta"
+    else:
+        tipo = "Não especificada" if c == "O95" else "Direta"
+    if g == "1" and p not in ("1", "2"):
+        per = "Durante a gravidez, parto ou aborto"
+    elif g != "1" and p == "1":
+        per = "Durante o puerpério, até 42 dias"
+    elif g != "1" and p == "2":
+        per = "Durante o puerpério, de 43 dias a menos de 1 ano"
+    elif (g, p) in (("2", "3"), ("2", "9"), ("9", "3")):
+        per = "Não na gravidez ou no puerpério"
+    elif (g, p) == ("9", "9"):
+        per = "Não informado ou ignorado"
+    elif (g, p) in (("1", "1"), ("1", "2")):
+        per = "Período inconsistente"
+    else:
+        per = None
+    return materno, descons, tipo, per
+
+
+def test_randomised_classification_against_model(spark):
+    import random
+
+    from maternis.plans.classify import derive_stage, recode_stage
+    rnd = random.Random(42)
+    letters = "ABDEFMOOOOOVXZ"
+
+    def code():
+        r = rnd.random()
+        if r < 0.3:
+            return rnd.choice(CODES + ["O937", "O244", "O240", "O259", "O94", "O95", "O95X", None])
+        return rnd.choice(letters) + "".join(rnd.choice("0123456789X") for _ in range(rnd.choice([2, 3])))
+    rows = [{"sexo": rnd.choice(["1", "2", "2", None]), "causabas": code(),
+             "obitograv": rnd.choice(["1", "2", "9", None, "8", "0"]),
+             "obitopuerp": rnd.choice(["1", "2", "3", "9", None, "0", "4", "8"]),
+             "dtobito": rnd.choice(["01012010", "01012024"])} for _ in range(3000)]
+    got = derive_stage(recode_stage(raw_rows(spark, rows))).select(
+        "materno", "desconsiderado", "tipo_de_morte_materna", "periodo_do_obito").collect()
+    for row, r in zip(rows, got):
+        expected = _model(row["sexo"], row["causabas"], row["obitograv"], row["obitopuerp"],
+                          row["dtobito"].endswith("2010"))
+        assert tuple(r) == expected, (row, tuple(r), expected)
