@@ -174,3 +174,12 @@ def test_bounded_broadcast_falls_back(spark):
     assert dims.fits(big, 50)
     plan = big.join(dims.bounded_broadcast(spark.range(5)), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
+
+
+def test_small_helpers(spark):
+    from maternis.functions.recode import harmonise_marital
+    df = spark.createDataFrame([("Solteiro",), ("Casada",), ("União Estável",), (None,)], "est_civil string")
+    assert [r[0] for r in df.select(harmonise_marital()).collect()] == ["Solteira", "Casada", "União Estável", None]
+    assert rollup.grand_total(_om(spark)).first().obitos == 21
+    assert rollup.grand_total(_om(spark).limit(0)).first().obitos == 0
+    assert X.variable_label("capitulo_cid10") == "Capítulo da CID-10"
