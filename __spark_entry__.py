@@ -160,6 +160,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             RP.ReportParams(years=AC_YEARS, level=RP.REGIONAL, region="ASIA")),
         "report_om_regions_table": lambda s, d: RP.report_table(RP.maternal_report(
             _marts(s, d)["om"], RP.ReportParams(year=YEAR, regions=SOME_REGIONS)), RP.NATIONAL),
+        "crosstab_display_column": lambda s, d: X.crosstab_display(X.crosstab_table(
+            _marts(s, d)["ac"], "racacor", "ano", "column", _ac_params())),
         # domains
         "facet_domain": lambda s, d: domains.facet_domain(_marts(s, d)["om"], "racacor"),
         "year_bounds": lambda s, d: domains.year_bounds(_marts(s, d)["om"]),
@@ -305,6 +307,11 @@ gm AS (
         "report_om_regions_table": W(
             f"SELECT {om_table_cols} FROM ("
             + O.report_select("om", "regions", YEAR, O.OM_ATTRS, O.COMMON_OM, regions=SOME_REGIONS) + ")"),
+        "crosstab_display_column": (
+            "SELECT *, replace(replace(replace(format('{:,}', obitos), ',', '#'), '.', ','), '#', '.') "
+            "|| ' (' || COALESCE(replace(replace(replace(format('{:,.1f}', percentual), ',', '#'), '.', ','), '#', '.'), '-') "
+            "|| '%)' AS exibicao FROM ("
+            + O.crosstab_sql("racacor", "ano", "column", AC_YEARS, ALL_REGIONS) + ")"),
         "facet_domain": W("SELECT DISTINCT racacor FROM om WHERE racacor IS NOT NULL"),
         "year_bounds": W("SELECT MIN(ano) AS ano_min, MAX(ano) AS ano_max FROM om"),
         "municipalities_of_state": W(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.classify import percent_tenths
+from ..functions.classify import format_number_br, percent_tenths
 from ..plans.report import ReportParams, in_choice, level_filter
 
 TOTAL_LABEL = "Total"
@@ -101,3 +101,11 @@ def crosstab_table(ac: DataFrame, row: str, col: str, percent: str, p: ReportPar
         n.alias("obitos"),
         percent_tenths(n, F.col("_d")).alias("percentual"),
     )
+
+
+def crosstab_display(table: DataFrame) -> DataFrame:
+    """Cell text of the contingency table: ``n (p%)`` in Brazilian format
+    (thousands '.', decimals ','), e.g. ``1.234 (56,7%)``."""
+    label = F.concat(format_number_br("obitos", 0), F.lit(" ("),
+                     F.coalesce(format_number_br("percentual", 1), F.lit("-")), F.lit("%)"))
+    return table.withColumn("exibicao", label)
