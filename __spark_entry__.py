@@ -32,6 +32,20 @@ from maternis.sources import fixtures as FX  # noqa: E402
 
 import sql_oracle as O  # noqa: E402
 
+# The training-data operators and their pipeline are optional parts.
+try:
+    import maternis.llm.queries as LLM
+except ModuleNotFoundError as e:
+    if not (e.name or "").startswith("maternis.llm"):
+        raise
+    LLM = None
+try:
+    import corpus_pipeline as PIPELINE
+except ModuleNotFoundError as e:
+    if e.name != "corpus_pipeline" and not (e.name or "").startswith("maternis.llm"):
+        raise
+    PIPELINE = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Report parameters used by the registered queries.
@@ -178,6 +192,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "long_date_pt": lambda s, d: FX.table(s, d, "orders").select(
             "o_orderkey", C.long_date_pt("o_orderdate").alias("data_por_extenso")),
     }
+    if LLM:
+        q |= LLM.QUERIES
+    if PIPELINE:
+        q["pipeline"] = PIPELINE.run
     return q
 
 
@@ -209,7 +227,7 @@ gm AS (
     uf_cols = ", ".join(S.UF_COLUMNS)
     search_cols = [c.strip() for c in om_table_cols.split(",")]
     search_cond = " OR ".join(f"COALESCE(contains(lower(CAST({c} AS VARCHAR)), 'parda'), false)" for c in search_cols)
-    return {
+    sql = {
         "recode_age_year": _counts_sql("ano", "cod_idade", "idade", "obito_em_idade_fertil"),
         "recode_race": _counts_sql("cod_racacor", "racacor"),
         "recode_marital_era": _counts_sql("era", "estciv", "est_civil"),
@@ -334,3 +352,8 @@ gm AS (
             f"({months})[month(o_orderdate)] || ' de ' || strftime(o_orderdate, '%Y') AS data_por_extenso "
             "FROM orders"),
     }
+    if LLM:
+        sql |= LLM.ORACLES
+    if PIPELINE and PIPELINE.ORACLE_SQL:
+        sql["pipeline"] = PIPELINE.ORACLE_SQL
+    return sql
