@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, token_files
+from .common import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -15,11 +16,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    out = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf, "documents"), BYTE_VOCABULARY, out)
+    return token_files.read_token_files(spark, out)
+
+
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf, "documents"), WORD_VOCABULARY)
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op4_bpe": op4_bpe,
 }
 
