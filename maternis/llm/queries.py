@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_files
-from .common import scratch_path
+from . import bpe, quality_rules, token_files
+from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,9 +26,18 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf, "documents"), WORD_VOCABULARY)
 
 
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    stats = written(quality_rules.text_statistics(table(spark, sf, "documents")), "text-statistics")
+    rules = quality_rules.fit_rules(stats, table(spark, sf, "labels"))
+    return quality_rules.judge(stats, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "failed_rule")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op4_bpe": op4_bpe,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
