@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, token_files
+from . import bpe, nbsvm, quality_rules, token_files
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +27,14 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf, "documents"), WORD_VOCABULARY)
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = nbsvm.fit_quality(docs, table(spark, sf, "labels"))
+    return nbsvm.score_quality(docs, model).select(
+        "doc_id", nbsvm.held_out().alias("held_out"), "score",
+        (F.col("score") >= nbsvm.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     stats = written(quality_rules.text_statistics(table(spark, sf, "documents")), "text-statistics")
     rules = quality_rules.fit_rules(stats, table(spark, sf, "labels"))
@@ -37,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op4_bpe": op4_bpe,
+    "op8_quality": op8_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 
