@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, text_or_empty
 
 BUCKETS = 1 << 17
-MAX_LABELLED = 8_000
+MAX_LABELLED = 3_000
 #: A score from here on predicts label 1.
 THRESHOLD = 0.7
 COST = 1.0
@@ -149,11 +149,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
         return Model(nothing, nothing, 0.0, 0.0, float(np.log(share / (1 - share))))
-    counts = [np.bincount(np.concatenate([r for r, k in zip(rows, y) if k == c] + [np.empty(0, np.int32)]),
+    counts = [np.bincount(np.concatenate([r for r, k in zip(rows, y) if k == c]),
                           minlength=BUCKETS) + 1.0 for c in (0, 1)]
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
     square = ratio ** 2
-    values = [ratio[r] / max(np.sqrt(square[r].sum()), 1e-12) for r in rows]
+    values = [(ratio[r] / max(np.sqrt(square[r].sum()), 1e-12)).astype(np.float32) for r in rows]
     apart = np.arange(len(y)) % 5 == 4
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart[:] = False
@@ -188,10 +188,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
                 label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
     sample = labelled_sample(docs, labels, key, text, label, max_labelled).select("_id", "_label", "_text")
-    rows = map_rows(sample, lambda c: ((k, int(y), indicators(t)) for k, y, t in zip(*c)),
-                    "id bigint, label int, row array<int>").toPandas()
+    rows = map_rows(sample, lambda c: ((k, int(y), indicators(t).tobytes()) for k, y, t in zip(*c)),
+                    "id bigint, label int, row binary").toPandas()
     rows = rows.iloc[np.argsort(rows["id"].to_numpy(np.int64), kind="stable")]
-    return fit([np.asarray(r, np.int32) for r in rows["row"]], rows["label"].to_numpy(np.int64))
+    return fit([np.frombuffer(r, np.int32) for r in rows["row"]], rows["label"].to_numpy(np.int64))
 
 
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
