@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, nbsvm, quality_rules, token_files
+from . import bpe, nbsvm, order_minhash, quality_rules, token_files
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf, "documents"), WORD_VOCABULARY)
 
 
+def op5_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = nbsvm.fit_quality(docs, table(spark, sf, "labels"))
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op4_bpe": op4_bpe,
+    "op5_order_minhash": op5_order_minhash,
     "op8_quality": op8_quality,
     "op10_quality_rules": op10_quality_rules,
 }
