@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, nbsvm, order_minhash, quality_rules, token_files
+from . import bpe, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(spark, out)
 
 
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).drop("draw")
 
@@ -53,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_secret_scan": op2_secret_scan,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
