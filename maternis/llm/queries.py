@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
+from . import bpe, link_graph, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,10 @@ def op5_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op6_link_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return link_graph.judge_urls(table(spark, sf, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = nbsvm.fit_quality(docs, table(spark, sf, "labels"))
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
+    "op6_link_graph": op6_link_graph,
     "op8_quality": op8_quality,
     "op10_quality_rules": op10_quality_rules,
 }
