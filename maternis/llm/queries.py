@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, link_graph, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
+from . import bpe, itq, link_graph, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,10 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("score") >= nbsvm.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_itq(spark: SparkSession, sf: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     stats = written(quality_rules.text_statistics(table(spark, sf, "documents")), "text-statistics")
     rules = quality_rules.fit_rules(stats, table(spark, sf, "labels"))
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_order_minhash": op5_order_minhash,
     "op6_link_graph": op6_link_graph,
     "op8_quality": op8_quality,
+    "op9_itq": op9_itq,
     "op10_quality_rules": op10_quality_rules,
 }
 
