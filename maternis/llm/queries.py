@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, itq, link_graph, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
+from . import bpe, edit_counts, itq, link_graph, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,10 @@ def op6_link_graph(spark: SparkSession, sf: str) -> DataFrame:
     return link_graph.judge_urls(table(spark, sf, "pages"))
 
 
+def op7_edit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_counts.count_after_masking(table(spark, sf, "documents"), BYTE_VOCABULARY)
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = nbsvm.fit_quality(docs, table(spark, sf, "labels"))
@@ -70,6 +74,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
     "op6_link_graph": op6_link_graph,
+    "op7_edit_counts": op7_edit_counts,
     "op8_quality": op8_quality,
     "op9_itq": op9_itq,
     "op10_quality_rules": op10_quality_rules,
