@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +42,9 @@ SHARD_IDS = 1 << 19
 MIN_PAIRS = 4
 #: Counters of a round; of pairs that share one, one is counted, the others in a later round.
 BINS = 1 << 18
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
+#: Pieces that the library encodes as one text.
+JOINED = 500
 U4 = np.dtype("<u4")
 # White space other than single blanks and line feeds between words.
 ODD_SPACE = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -66,11 +69,15 @@ class ByteEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # a vocabulary string has one character for each byte that it stands for
+        self.size = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        for string, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(string)
         self.pieces: dict[str, bytes] = {}
         self.feed = len(self.ids("\n")) // 4
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, U4).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     @staticmethod
     def split(text: str) -> list[str] | None:
@@ -79,6 +86,18 @@ class ByteEncoder:
             return None
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
+    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: the library encodes JOINED pieces as one text, and the bytes
+        that each id stands for tell where a piece ends."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), JOINED):
+            group = [p if p[0] == "\n" else " " + p for p in pieces[at:at + JOINED]]
+            raw = self.ids("".join(group))
+            ends = np.cumsum(self.size[np.frombuffer(raw, U4)])
+            cuts = 4 * (np.searchsorted(ends, np.cumsum([len(p.encode("utf-8")) for p in group])) + 1)
+            out += [raw[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist())]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         found = [list(map(self.pieces.get, parts or ())) for parts in split]
@@ -95,9 +114,7 @@ class ByteEncoder:
             new = list({split[k][at] for k, at in gaps})
             if len(self.pieces) + len(new) > CACHE_ENTRIES:
                 self.pieces.clear()
-            coded = self.tokenizer.encode_batch_fast([p if p[0] == "\n" else " " + p for p in new],
-                                                     add_special_tokens=False)
-            fresh = dict(zip(new, (np.array(e.ids, U4).tobytes() for e in coded)))
+            fresh = dict(zip(new, self.piece_ids(new)))
             self.pieces.update(fresh)
             for k, at in gaps:
                 found[k][at] = fresh[split[k][at]]
