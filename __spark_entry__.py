@@ -56,6 +56,8 @@ STATE = "NATION_20"
 MUNICIPALITY = "Supplier#000000001"
 ONM_STATE = "NATION_11"
 AC_YEARS = (2015, 2024)
+# Columns of the per-death mart on which different deaths coincide.
+AC_PROFILE = ("ano", "uf", "causabas", "racacor", "periodo_do_obito")
 
 
 # ---------------------------------------------------------------------------
@@ -182,8 +184,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "municipalities_of_state": lambda s, d: domains.municipalities_of_state(FX.state_lookup(s, d), STATE),
         "series_count": lambda s, d: domains.series_count(_crosstab_long(s, d), "variavel_coluna"),
         # quality
-        "dupes_documents": lambda s, d: quality.dupes_hashed(FX.table(s, d, "documents").select("text")),
-        "dupes_om": lambda s, d: quality.dupes(_marts(s, d)["om"]),
+        "dupes_documents": lambda s, d: quality.dupes(FX.table(s, d, "documents").select("text")),
+        "dupes_om": lambda s, d: quality.dupes(_marts(s, d)["ac"].select(*AC_PROFILE)),
         "null_audit": lambda s, d: quality.null_audit(_marts(s, d)["ac"]),
         "control_totals": lambda s, d: quality.control_totals(_marts(s, d)["om"], _marts(s, d)["ac"]),
         # table search and formatting
@@ -340,7 +342,7 @@ gm AS (
             f"WHERE ano BETWEEN {AC_YEARS[0]} AND {AC_YEARS[1]} AND racacor IS NOT NULL AND idade BETWEEN 10 AND 49 "
             f"AND regiao IN ({', '.join(O._q(r) for r in ALL_REGIONS)}) GROUP BY racacor, ano)"),
         "dupes_documents": "SELECT text, COUNT(*) AS dupe_count FROM documents GROUP BY text HAVING COUNT(*) > 1",
-        "dupes_om": W("SELECT *, COUNT(*) AS dupe_count FROM om GROUP BY ALL HAVING COUNT(*) > 1"),
+        "dupes_om": W(f"SELECT {', '.join(AC_PROFILE)}, COUNT(*) AS dupe_count FROM ac GROUP BY ALL HAVING COUNT(*) > 1"),
         "null_audit": W("SELECT * FROM ac WHERE " + " OR ".join(f"{c} IS NULL" for c in S.AC_COLUMNS)),
         "control_totals": W(
             "SELECT ano, CAST(SUM(om_n) AS BIGINT) AS obitos_om, CAST(SUM(ac_n) AS BIGINT) AS linhas_ac FROM ("

@@ -25,23 +25,6 @@ def dupes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             .where(F.col("dupe_count") > 1))
 
 
-def dupes_hashed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``dupes`` for wide rows (whole documents): same result, less shuffle.
-
-    Pass 1 shuffles only a 64-bit hash per row and keeps the hashes seen more
-    than once; pass 2 keeps the rows with such a hash (semi-join; AQE may
-    broadcast the hash set, or split a skewed hash) and groups them by their
-    exact values, so a hash collision never merges different rows. The text
-    is read twice but shuffled only for rows that may be duplicates.
-    """
-    cols = columns or df.columns
-    keyed = df.select(*cols, F.xxhash64(*cols).alias("_h"))
-    repeated = (keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") > 1).select("_h"))
-    candidates = keyed.join(repeated, on="_h", how="left_semi").drop("_h")
-    return dupes(candidates, cols)
-
-
 def control_totals(om: DataFrame, ac: DataFrame) -> DataFrame:
     """Per year: deaths in the official mart, and rows of the per-death mart.
 

@@ -23,30 +23,30 @@ def _project(df: DataFrame, columns: list[str]) -> DataFrame:
     ])
 
 
-def _count_by_all(df: DataFrame, columns: list[str]) -> DataFrame:
+def _count_by_all(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     dims_ = [c for c in columns if c != "obitos"]
-    return df.groupBy(*dims_).agg(F.count(F.lit(1)).alias("obitos")).select(*columns)
+    return df.groupBy(*dims_, *by).agg(F.count(F.lit(1)).alias("obitos")).select(*columns, *by)
 
 
-def mart_om(classified: DataFrame) -> DataFrame:
-    """Official maternal deaths: municipality x year x cause x attributes x age."""
-    return _count_by_all(_project(classified.where(F.col("materno")), S.OM_COLUMNS[:-1]), S.OM_COLUMNS)
+def mart_om(classified: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Official maternal deaths: municipality x year x cause x attributes x age (x ``by``)."""
+    return _count_by_all(_project(classified.where(F.col("materno")), [*S.OM_COLUMNS[:-1], *by]), S.OM_COLUMNS, by)
 
 
 def mart_gc(om: DataFrame, garbage: DataFrame) -> DataFrame:
     """Maternal deaths whose cause is on the garbage-code list."""
-    return dims.keep_codes(om, garbage, "causabas").select(*S.OM_COLUMNS)
+    return dims.keep_codes(om, garbage, "causabas").select(*om.columns)
 
 
-def mart_ac(classified: DataFrame) -> DataFrame:
+def mart_ac(classified: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Cross-analysis mart: one row per maternal death, 17 attributes, no count."""
-    return _project(classified.where(F.col("materno")), S.AC_COLUMNS)
+    return _project(classified.where(F.col("materno")), [*S.AC_COLUMNS, *by])
 
 
-def mart_onm(classified: DataFrame) -> DataFrame:
+def mart_onm(classified: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Female deaths in pregnancy or puerperium whose cause is not maternal."""
-    return _count_by_all(_project(classified.where(F.col("desconsiderado")), S.ONM_COLUMNS[:-1]),
-                         S.ONM_COLUMNS)
+    return _count_by_all(_project(classified.where(F.col("desconsiderado")), [*S.ONM_COLUMNS[:-1], *by]),
+                         S.ONM_COLUMNS, by)
 
 
 UF_KEYS = ["uf", "regiao", "ano", "idade"]
@@ -70,7 +70,7 @@ def mart_uf(om: DataFrame, onm: DataFrame) -> DataFrame:
     return tagged.groupBy(*UF_KEYS).agg(*measures).select(*S.UF_COLUMNS)
 
 
-def mart_uf_single_pass(classified: DataFrame) -> DataFrame:
+def mart_uf_single_pass(classified: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """State mart straight from the classified certificates: one scan, one
     shuffle (conditional counts), no join.
 
@@ -80,11 +80,11 @@ def mart_uf_single_pass(classified: DataFrame) -> DataFrame:
     """
     key = C.uf_pivot_key()
     rows = classified.where(F.col("materno") | F.col("desconsiderado")).select(
-        *UF_KEYS, "materno", F.when(F.col("desconsiderado"), key).alias("_chave"))
+        *UF_KEYS, *by, "materno", F.when(F.col("desconsiderado"), key).alias("_chave"))
     measures = [F.count_if(F.col("materno")).cast("long").alias("obitos_maternos")]
     measures += [F.count_if(F.coalesce(F.col("_chave") == name, F.lit(False))).cast("long").alias(name)
                  for name in S.UF_COUNT_COLUMNS[1:]]
-    return rows.groupBy(*UF_KEYS).agg(*measures).select(*S.UF_COLUMNS)
+    return rows.groupBy(*UF_KEYS, *by).agg(*measures).select(*S.UF_COLUMNS, *by)
 
 
 def mart_uf_pivot(om: DataFrame, onm: DataFrame) -> DataFrame:
@@ -104,13 +104,28 @@ def mart_uf_pivot(om: DataFrame, onm: DataFrame) -> DataFrame:
         *UF_KEYS, *[F.col(c).cast("long").alias(c) for c in S.UF_COUNT_COLUMNS])
 
 
-def build_marts(classified: DataFrame, garbage: DataFrame) -> dict[str, DataFrame]:
-    om = mart_om(classified)
-    onm = mart_onm(classified)
+def build_marts(classified: DataFrame, garbage: DataFrame, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The five marts; ``by`` adds grouping columns (the stored marts carry the file year)."""
+    om = mart_om(classified, by)
     return {
         "om": om,
         "gc": mart_gc(om, garbage),
-        "ac": mart_ac(classified),
-        "onm": onm,
-        "uf": mart_uf_single_pass(classified),
+        "ac": mart_ac(classified, by),
+        "onm": mart_onm(classified, by),
+        "uf": mart_uf_single_pass(classified, by),
     }
+
+
+#: Columns that the marts read from the classified certificates.
+MART_INPUT = list(dict.fromkeys(
+    ["res_codigo_adotado" if c == "codigo" else c
+     for c in [*S.OM_COLUMNS[:-1], *S.AC_COLUMNS, *S.ONM_COLUMNS[:-1], *UF_KEYS, "materno", "desconsiderado"]]))
+
+
+def over_file_years(stored: DataFrame) -> DataFrame:
+    """A stored mart without its file year: counts of several files are summed."""
+    counts = [c for c in stored.columns if c.startswith("obitos")]
+    rest = [c for c in stored.columns if c not in counts and c != "ano_arquivo"]
+    if not counts:
+        return stored.select(*rest)
+    return stored.groupBy(*rest).agg(*[F.sum(c).alias(c) for c in counts])

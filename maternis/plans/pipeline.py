@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from .. import schema as S
 from ..operators import dims
 from ..sources import fixtures as FX
 from ..sources import files
-from ..sources.sinks import write_mart
+from ..sources.sinks import remove_path, write_mart
 from . import marts as M
 from .classify import classify
 
@@ -87,33 +88,39 @@ def era_marts(spark: SparkSession, sf_dir: str, era: str) -> dict[str, DataFrame
     return _plans[k]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by
-    ``spark.checkpoint.dir`` (shared storage on a cluster), so that a lost
-    executor does not send the recomputation back to the raw scan."""
-    return df.checkpoint(eager=True)
+def write_marts(classified: DataFrame, garbage: DataFrame, out_root: str, file_years: list[int]) -> dict[str, str]:
+    """Replace the given file years in the five stored marts.
+
+    The classified certificates are staged once, only the columns that the marts read, as Parquet by
+    file year on the marts' own (shared) storage; every mart reads the stage, pruned, and the stage
+    goes after success. A failed run leaves its stage folder for inspection and changes no other file year.
+    """
+    spark = classified.sparkSession
+    stage = f"{out_root}/_stage-{uuid.uuid4().hex}"
+    slim = classified.where(F.col("materno") | F.col("desconsiderado")).select(*M.MART_INPUT, "ano_arquivo")
+    slim.write.partitionBy("ano_arquivo").parquet(stage)
+    staged = spark.read.schema(slim.schema).parquet(stage)
+    paths = {}
+    for name, df in M.build_marts(staged, garbage, by=("ano_arquivo",)).items():
+        paths[name] = f"{out_root}/{name}"
+        write_mart(df, paths[name], file_years, sort_by=["codigo"] if "codigo" in df.columns else ["uf"])
+    remove_path(spark, stage)
+    return paths
 
 
 def run_batch(spark: SparkSession, inputs: Inputs, out_root: str, years: tuple[int, int] | None = None) -> dict[str, str]:
-    """Classify once, checkpoint the (small) candidate set, write the five marts.
+    """Classify the landed files (of the file years ``years``, inclusive) and replace them in the marts.
 
-    The raw scan is read once: the candidate filter (female, pregnancy-related
-    or maternal-cause) is pushed into it, the classified candidates are
-    checkpointed, and every mart is computed from the checkpoint. Marts are
-    written partitioned by year with dynamic overwrite, so a run over the
-    preliminary years replaces exactly those years.
+    File years of the range without any certificate are replaced by nothing. Read the marts with
+    ``sources.sinks.read_mart``.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
     raw = inputs.raw
     if years is not None:
         raw = raw.where(F.col("ano_arquivo").between(*years))
-    classified = checkpointed(classify(raw, inputs.municipalities, inputs.icd))
-    marts = M.build_marts(classified, inputs.garbage)
-    paths = {}
-    for name, df in marts.items():
-        path = f"{out_root}/{name}"
-        sort_by = ["codigo"] if "codigo" in df.columns else ["uf"]
-        write_mart(df, path, sort_by=sort_by)
-        paths[name] = path
-    return paths
+        file_years = list(range(years[0], years[1] + 1))
+    else:
+        file_years = sorted(r[0] for r in raw.select("ano_arquivo").distinct().collect() if r[0] is not None)
+    unplaced = inputs.raw.where(F.col("ano_arquivo").isNull())
+    if not unplaced.isEmpty():
+        raise ValueError("certificates without a file year (ano_arquivo): the file is the unit of replacement")
+    return write_marts(classify(raw, inputs.municipalities, inputs.icd), inputs.garbage, out_root, file_years)

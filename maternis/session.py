@@ -26,19 +26,30 @@ JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "maternis") -> SparkSession:
-    """Local/test session: UI off, small shuffle fan-out, AQE on, huge
-    generated methods JIT-compiled (takes effect when this call starts the JVM)."""
-    b = (SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
-         .config("spark.executor.extraJavaOptions", JVM_OPTIONS))
-    if master:
-        b = b.master(master)
+    """The running session as it is configured, with ``DEFAULTS`` where it sets nothing; else a new
+    local/test session: UI off, small shuffle fan-out, AQE on, huge generated methods JIT-compiled."""
+    from pyspark import SparkConf
+    running = SparkSession.getActiveSession()
+    given = running.sparkContext.getConf() if running else SparkConf()
+    wanted = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+              "spark.driver.memory": os.environ.get("MATERNIS_DRIVER_MEMORY", "8g"), **DEFAULTS}
     if shuffle_partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("MATERNIS_DRIVER_MEMORY", "8g"))
-    for k, v in DEFAULTS.items():
-        b = b.config(k, v)
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    b = SparkSession.builder
+    if running is None:
+        b = b.appName(app_name)
+        for k in ("spark.driver.extraJavaOptions", "spark.executor.extraJavaOptions"):  # added to, not replaced
+            b = b.config(k, f"{given.get(k, '')} {JVM_OPTIONS}".strip())
+        if master:
+            b = b.master(master)
+        for k, v in wanted.items():
+            if not given.contains(k):
+                b = b.config(k, v)
+    else:
+        overridden = set(running.conf.getAll)
+        for k, v in DEFAULTS.items():
+            if k not in overridden and not given.contains(k):
+                running.conf.set(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

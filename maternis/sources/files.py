@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,17 +27,15 @@ def clean_name(name: str) -> str:
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """Normalise every column name; repeated names get a numeric suffix."""
-    seen: dict[str, int] = {}
-    out = []
-    for c in df.columns:
-        n = clean_name(c)
-        if n in seen:
-            seen[n] += 1
-            n = f"{n}_{seen[n]}"
-        else:
-            seen[n] = 1
-        out.append(n)
+    """Normalise every column name; repeated names get the first numeric suffix that is free."""
+    out: list[str] = []
+    wanted = [clean_name(c) for c in df.columns]
+    for n in wanted:
+        name, k = n, 1
+        while name in out or (k > 1 and name in wanted):
+            k += 1
+            name = f"{n}_{k}"
+        out.append(name)
     return df.toDF(*out)
 
 
@@ -80,30 +78,40 @@ def read_landed_raw(spark: SparkSession, root: str, first_year: int | None = Non
     return df
 
 
+# File name of a preliminary file: DO<yy>OPEN...csv -> file year 20yy.
+FILE_YEAR_PATTERN = r"DO(\d{2})OPEN"
+
+
+def year_of_file_name() -> Column:
+    """The file year in the name of the file that a row comes from; null if it names none."""
+    yy = F.regexp_extract(F.col("_metadata.file_name"), FILE_YEAR_PATTERN, 1)
+    return F.when(yy != "", F.lit(2000) + yy.cast("int")).cast("int")
+
+
 def read_preliminary_csv(spark: SparkSession, paths: list[str] | str, file_year: int | None = None,
                          schema: T.StructType | None = None) -> DataFrame:
     """';'-separated preliminary files; every column read as text.
 
     With ``schema`` the columns are taken as given (no inference pass); without
-    it the header names are used, all as text, then normalised.
+    it the header names are used, all as text, then normalised. Each row gets
+    the file year ``ano_arquivo`` of its own file's name (the era rules follow
+    the file, not the date of death), or ``file_year`` if that is given.
     """
     r = spark.read.option("sep", ";").option("header", True)
-    if schema is not None:
-        df = r.schema(schema).csv(paths)
-    else:
-        df = clean_names(r.option("inferSchema", False).csv(paths))
-    df = blanks_to_null(df)
-    if file_year is not None:
-        df = df.withColumn("ano_arquivo", F.lit(file_year))
-    return df
+    df = r.schema(schema).csv(paths) if schema is not None else r.option("inferSchema", False).csv(paths)
+    year = F.lit(file_year).cast("int") if file_year is not None else year_of_file_name()
+    df = df.select("*", year.alias("ano_arquivo"))
+    return blanks_to_null(df if schema is not None else clean_names(df))
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None,
                    sep: str = ",", trim: bool = True) -> DataFrame:
-    """Delimited table with header; optional whitespace trim; no escaped quotes."""
-    r = (spark.read.option("sep", sep).option("header", True).option("escape", "\\")
-         .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim))
-    df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
+    """Delimited table with header; optional whitespace trim; no escaped quotes.
+
+    ``NA`` is the publisher's mark of a missing value, an empty field is one too."""
+    r = (spark.read.option("sep", sep).option("header", True).option("escape", "\\").option("nullValue", "NA")
+         .option("emptyValue", "").option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim))
+    df = blanks_to_null(r.schema(schema).csv(path) if schema is not None else r.csv(path))
     return clean_names(df) if schema is None else df
 
 

@@ -36,16 +36,6 @@ def sim_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw certificates (all text) plus the integer file year ``ano_arquivo``."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    # A benchmark file with a single row group scans as one task; landed
-    # registry files come in many. Spread such an input over the cores
-    # (round-robin on five numeric columns) so the fixture behaves like them.
-    # Inputs that already have enough splits are left alone: no shuffle.
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if li.rdd.getNumPartitions() < cores:
-            li = li.repartition(cores)
-    except Exception:  # noqa: BLE001 - sessions without RDD access keep the file's splits
-        pass
     o, p, s, n = (F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"),
                   F.col("l_linenumber"))
     year = F.lit(1996) + (o + s) % 29

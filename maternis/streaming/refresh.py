@@ -3,16 +3,22 @@
 The preliminary files (one ';' CSV per year, re-published with more records
 every month) land in a folder. A file stream picks up each new file (the file
 source tracks files by path, so a re-published year lands under a new name,
-e.g. ``DO24OPEN_20241129.csv``; the year is still read from the ``DOyyOPEN``
-part); ``foreachBatch`` classifies the batch and rewrites the marts with
-dynamic partition overwrite, so only the years present in the batch are
-replaced and the fixed history is never touched. The streaming checkpoint
-(in shared storage) records which files were processed, so a restarted or
-failed run resumes without losing a file; a batch retried after a failure
-overwrites the same year partitions again, so the writes are idempotent.
-
-Run it with ``trigger(availableNow=True)`` from the monthly schedule: it
-processes what has landed and stops.
+e.g. ``DO24OPEN_20241129.csv``; the year is read from the ``DOyyOPEN`` part).
+
+The unit of replacement is the file: ``foreachBatch`` classifies the batch once
+and replaces exactly its file years in every mart, also where a mart has no row
+of them any more. Deaths of other years in a file stay in that file's year and
+never touch the history. Of several versions of one year in a batch the latest
+(by modification time, then name) counts. Nothing is dropped unseen: each
+batch writes a report of its files (year, rows, ``applied``, ``superseded`` or
+``rejected``), and the rows of files that name no year are kept, as they came,
+under ``_rejected``; a year is never inferred from a row.
+
+The streaming checkpoint (in shared storage) records which files were
+processed, so a restarted or failed run resumes without losing a file; a batch
+retried after a failure replaces the same file years again, so the writes are
+idempotent. Run it with ``trigger(availableNow=True)`` from the monthly
+schedule: it processes what has landed and stops.
 """
 
 from __future__ import annotations
@@ -25,59 +31,53 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
-from ..plans import marts as M
 from ..plans.classify import classify
-from ..sources.files import blanks_to_null
-from ..sources.sinks import write_mart
-
-# File name of a preliminary file: DO<yy>OPEN.csv -> file year 20yy.
-FILE_YEAR_PATTERN = r"DO(\d{2})OPEN"
+from ..plans.pipeline import write_marts
+from ..sources.files import blanks_to_null, year_of_file_name
 
 
 def preliminary_stream(spark: SparkSession, landing_dir: str,
                        schema: T.StructType = S.RAW_SCHEMA) -> DataFrame:
-    """Streaming DataFrame of landed preliminary certificates with ``ano_arquivo``.
-
-    The file year comes from the file name (hidden ``_metadata`` column); a
-    name without it falls back to the year of the date of death.
-    """
+    """Streaming DataFrame of landed preliminary certificates with the file's year, name and time."""
     raw = (spark.readStream.schema(schema).option("sep", ";").option("header", True)
            .csv(landing_dir))
-    yy = F.regexp_extract(F.col("_metadata.file_name"), FILE_YEAR_PATTERN, 1)
-    file_year = F.when(yy != "", (F.lit(2000) + yy.cast("int"))).otherwise(
-        F.substring("dtobito", -4, 4).try_cast("int"))
-    return raw.select(*schema.fieldNames(), file_year.cast("int").alias("ano_arquivo"),
-                      F.col("_metadata.file_name").alias("_arquivo"))
+    return raw.select(*schema.fieldNames(), year_of_file_name().alias("ano_arquivo"),
+                      F.col("_metadata.file_name").alias("_arquivo"),
+                      F.col("_metadata.file_modification_time").alias("_publicado"))
 
 
-def latest_file_per_year(batch: DataFrame) -> DataFrame:
-    """Keep, for each file year, only the rows of its latest file (names sort
-    by their date suffix). The latest names come from a one-row-per-year
-    aggregate, kept with a (size-checked) broadcast semi-join, so no year is
-    gathered into one task."""
-    from ..operators.dims import bounded_broadcast
-    latest = batch.groupBy("ano_arquivo").agg(F.max("_arquivo").alias("_arquivo"))
-    return batch.join(bounded_broadcast(latest), on=["ano_arquivo", "_arquivo"], how="left_semi")
+def file_report(batch: DataFrame) -> DataFrame:
+    """One row per file of the batch: ``ano_arquivo, _arquivo, _publicado, rows, status``."""
+    files = batch.groupBy("ano_arquivo", "_arquivo", "_publicado").agg(F.count(F.lit(1)).alias("rows"))
+    latest = files.groupBy("ano_arquivo").agg(F.max(F.struct("_publicado", "_arquivo")).alias("_latest"))
+    status = F.when(F.col("ano_arquivo").isNull(), "rejected").when(
+        F.struct("_publicado", "_arquivo") == F.col("_latest"), "applied").otherwise("superseded")
+    return files.join(latest.withColumnRenamed("ano_arquivo", "_ano"), F.col("ano_arquivo").eqNullSafe(F.col("_ano"))).select(
+        "ano_arquivo", "_arquivo", "_publicado", "rows", status.alias("status"))
 
 
 def refresh_batch(municipalities: DataFrame, icd: DataFrame, garbage: DataFrame,
                   out_root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: classify the batch and overwrite its years in every mart."""
+    """``foreachBatch`` body: classify the batch's applied files and replace their years in every mart."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        raw = blanks_to_null(latest_file_per_year(batch), S.RAW_COLUMNS).drop("_arquivo")
-        classified = classify(raw, municipalities, icd)
-        for name, mart in M.build_marts(classified, garbage).items():
-            sort_by = ["codigo"] if "codigo" in mart.columns else ["uf"]
-            write_mart(mart, f"{out_root}/{name}", sort_by=sort_by)
+        spark = batch.sparkSession
+        report = f"{out_root}/_files/epoch={epoch_id}"
+        file_report(batch).write.mode("overwrite").parquet(report)
+        files = spark.read.parquet(report)
+        applied = [(r["ano_arquivo"], r["_arquivo"]) for r in files.where("status = 'applied'").collect()]  # one a year
+        batch.where(F.col("ano_arquivo").isNull()).write.mode("overwrite").parquet(f"{out_root}/_rejected/epoch={epoch_id}")
+        if not applied:
+            return
+        rows = batch.where(F.col("_arquivo").isin([name for _, name in applied]))
+        raw = blanks_to_null(rows, S.RAW_COLUMNS).drop("_arquivo", "_publicado")
+        write_marts(classify(raw, municipalities, icd), garbage, out_root, [year for year, _ in applied])
     return run
 
 
 def start_refresh(spark: SparkSession, landing_dir: str, out_root: str, checkpoint_location: str,
                   municipalities: DataFrame, icd: DataFrame, garbage: DataFrame,
                   available_now: bool = True) -> StreamingQuery:
-    """Start the refresh. One file per year is the unit of replacement: a batch
-    must hold every file of the years it contains (``maxFilesPerTrigger`` is
-    left unset, so a run takes all new files at once)."""
+    """Start the refresh. ``maxFilesPerTrigger`` is left unset, so a run takes all new files at once."""
     writer = (preliminary_stream(spark, landing_dir).writeStream
               .foreachBatch(refresh_batch(municipalities, icd, garbage, out_root))
               .option("checkpointLocation", checkpoint_location))

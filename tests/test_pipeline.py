@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maternis.operators import quality
 from maternis.plans import marts as M
 from maternis.plans import pipeline as P
+from maternis.sources.sinks import read_mart
 
 
 def test_mart_invariants(spark):
@@ -37,14 +38,14 @@ def test_batch_build_and_refresh(spark):
     out = tempfile.mkdtemp(prefix="maternis-test-")
     inp = P.fixture_inputs(spark, SF_SMALL)
     paths = P.run_batch(spark, inp, out)
-    om = spark.read.parquet(paths["om"])
+    om = read_mart(spark, paths["om"])
     expected = P.fixture_marts(spark, SF_SMALL)["om"]
     assert om.select(*expected.columns).exceptAll(expected).count() == 0
     before = om.where("ano <= 2022").agg(F.sum("obitos")).first()[0]
     n_before = om.count()
     # refresh only the preliminary years: history untouched, preliminary replaced
     P.run_batch(spark, inp, out, years=(2023, 2024))
-    om2 = spark.read.parquet(paths["om"])
+    om2 = read_mart(spark, paths["om"])
     assert om2.where("ano <= 2022").agg(F.sum("obitos")).first()[0] == before
     assert om2.count() == n_before
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from maternis import schema as S
 from maternis.sources import files
-from maternis.sources.sinks import export_csv, write_mart, write_published_csv
+from maternis import schema as S
+from maternis.plans.classify import derive_stage, recode_stage
+from maternis.sources.sinks import export_csv, read_mart, write_mart, write_published_csv
 
 
 def test_clean_names():
@@ -52,17 +54,50 @@ def test_numeric_to_text(spark):
     assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "string", "string"]
 
 
-def test_write_mart_replaces_only_years_present(spark):
+def test_write_mart_replaces_whole_file_years(spark):
     out = tempfile.mkdtemp(prefix="maternis-test-") + "/om"
-    hist = spark.createDataFrame([("1", 2021, 5), ("2", 2022, 6), ("1", 2023, 99)], "codigo string, ano int, obitos long")
-    write_mart(hist, out, sort_by=["codigo"])
-    prelim = spark.createDataFrame([("1", 2023, 7), ("3", 2024, 8)], "codigo string, ano int, obitos long")
-    write_mart(prelim, out, sort_by=["codigo"])
-    got = sorted(tuple(r) for r in spark.read.parquet(out).select("codigo", "ano", "obitos").collect())
-    assert got == [("1", 2021, 5), ("1", 2023, 7), ("2", 2022, 6), ("3", 2024, 8)]
-    # partition pruning on read
-    plan = spark.read.parquet(out).where(F.col("ano") == 2023)._jdf.queryExecution().executedPlan().toString()
+    schema = "codigo string, ano int, obitos long, ano_arquivo int"
+    hist = spark.createDataFrame([("1", 2021, 5, 2021), ("2", 2022, 6, 2022), ("1", 2022, 99, 2023), ("1", None, 9, 2023)], schema)
+    write_mart(hist, out, [2021, 2022, 2023], sort_by=["codigo"])
+    prelim = spark.createDataFrame([("1", 2023, 7, 2023), ("3", 2024, 8, 2024), ("2", 2022, 1, 2024)], schema)
+    write_mart(prelim, out, [2023, 2024], sort_by=["codigo"])
+    got = sorted(tuple(r) for r in read_mart(spark, out).select("codigo", "ano", "obitos").collect())
+    assert got == [("1", 2021, 5), ("1", 2023, 7), ("2", 2022, 7), ("3", 2024, 8)]
+    # folder pruning on read
+    plan = read_mart(spark, out).where(F.col("ano") == 2023)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ano" in plan
+    # a file year without any row left
+    write_mart(prelim.limit(0), out, [2024], sort_by=["codigo"])
+    assert sorted(r.ano for r in read_mart(spark, out).collect()) == [2021, 2022, 2023]
+
+
+def test_preliminary_files_follow_the_era_of_their_name(spark):
+    folder = tempfile.mkdtemp(prefix="maternis-test-")
+    names = "sexo;causabas;obitograv;obitopuerp;dtobito;idade;racacor;estciv;esc2010;lococor;assistmed;necropsia;fonteinv;codmunres"
+    for yy, day in (("23", "31122022"), ("24", "01012024")):
+        with open(f"{folder}/DO{yy}OPEN.csv", "w", encoding="utf-8") as f:
+            f.write(f"{names}\n2;O000;2;8;{day};430;1;1;1;1;1;1;1;1\n")
+    raw = files.read_preliminary_csv(spark, [f"{folder}/DO23OPEN.csv", f"{folder}/DO24OPEN.csv"])
+    got = {r["ano_arquivo"]: r for r in derive_stage(recode_stage(raw)).collect()}
+    assert sorted(got) == [2023, 2024]
+    assert got[2023]["era"] == "preliminar" or got[2023]["era"] == S.PRELIMINARY
+    assert got[2023]["ano"] == 2022 and got[2023]["obitopuerp"] == "8"
+
+
+def test_na_is_null_and_published_marts_round_trip(spark):
+    folder = tempfile.mkdtemp(prefix="maternis-test-")
+    with open(f"{folder}/m.csv", "w", encoding="utf-8") as f:
+        f.write("a,b\n1,NA\n,x\n")
+    assert [tuple(r) for r in files.read_delimited(spark, f"{folder}/m.csv").collect()] == [("1", None), (None, "x")]
+    mart = spark.createDataFrame([("1", None, 2), ("2", "PA", 3)], "codigo string, uf string, obitos long")
+    write_published_csv(mart, f"{folder}/out")
+    back = files.read_delimited(spark, f"{folder}/out", schema=mart.schema)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, mart.collect()), key=str)
+
+
+def test_clean_names_never_collide(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], ["a", "A ", "a_2", "a_2 "])
+    assert len(set(files.clean_names(df).columns)) == 4
 
 
 def test_export_csv_semicolon(spark):
