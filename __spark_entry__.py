@@ -57,7 +57,7 @@ MUNICIPALITY = "Supplier#000000001"
 ONM_STATE = "NATION_11"
 AC_YEARS = (2015, 2024)
 # Columns of the per-death mart on which different deaths coincide.
-AC_PROFILE = ("ano", "uf", "causabas", "racacor", "periodo_do_obito")
+AC_PROFILE = ("ano", "uf", "racacor", "escolaridade", "periodo_do_obito")
 
 
 # ---------------------------------------------------------------------------
@@ -213,7 +213,8 @@ def oracle_sql() -> dict[str, str]:
     om_table = f"SELECT {om_table_cols} FROM ({O.report_select('om', 'all', YEAR, O.OM_ATTRS, O.COMMON_OM)})"
     intervals = ", ".join(
         f"({O._q(lo)}, {O._q(hi)}, {O._q(lbl)})"
-        for lo, hi, lbl in S.ICD_CHAPTERS + FX.letter_blocks(S.ICD_CHAPTERS))
+        for lo, hi, lbl in S.ICD_CHAPTERS + FX.letter_blocks(S.ICD_CHAPTERS)
+        + FX.decade_blocks(FX.letter_blocks(S.ICD_CHAPTERS)))
     groups_all = f"""
 iv("CATINIC", "CATFIM", "DESCRICAO") AS (VALUES {intervals}),
 causes AS (SELECT DISTINCT CASE WHEN causabas IN ('O935', 'O937') THEN 'O95' ELSE causabas END AS causabas

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 # Size bounds for broadcast sides. Brazil has ~5.6k municipalities and ICD-10
 # ~14k four-character codes; the bounds leave room for other registries.
 MAX_DIMENSION_ROWS = 200_000
-MAX_INTERVAL_ROWS = 10_000
 
 
 _STATIC_BOUND = "_maternis_max_rows"
@@ -77,20 +76,27 @@ def category_ordinal(code: Column) -> Column:
     return (F.ascii(F.substring(code, 1, 1)) - 65) * 100 + F.substring(code, 2, 2).try_cast("int")
 
 
+def by_category(intervals: DataFrame, lo: str, hi: str, label: str) -> DataFrame:
+    """One row per interval and category in it: an interval join becomes an equi-join on the ordinal."""
+    return intervals.select(lo, hi, label, F.explode(F.sequence(
+        category_ordinal(F.col(lo)), category_ordinal(F.col(hi)))).alias("_ordinal")).where(
+        category_ordinal(F.col(lo)) <= category_ordinal(F.col(hi)))
+
+
 def interval_matches(keys: DataFrame, key: str, intervals: DataFrame, lo: str = "CATINIC",
                      hi: str = "CATFIM", label: str = "DESCRICAO") -> DataFrame:
-    """All intervals containing each distinct key's three-character category.
+    """All intervals, nested to any depth, that contain each distinct key's three-character category
+    (a letter and two digits; other categories match nothing).
 
-    ``keys`` should already be distinct (a few thousand codes); the range
-    condition is evaluated against the broadcast interval table (size checked),
-    so the nested loop is |codes| x |intervals| and never touches fact rows.
+    Each interval is expanded to its categories, so the join is an equi-join on
+    the category's ordinal, at any size of either side.
     Output: key, category, lo, hi, label, width.
     """
-    iv = bounded_broadcast(intervals.select(lo, hi, label), MAX_INTERVAL_ROWS)
     cat = F.substring(F.col(key), 1, 3)
-    k = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_cat", cat)
+    k = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_cat", cat).withColumn(
+        "_ordinal", category_ordinal(cat))
     return (
-        k.join(iv, (F.col("_cat") >= F.col(lo)) & (F.col("_cat") <= F.col(hi)), "inner")
+        k.join(by_category(intervals, lo, hi, label), "_ordinal")
         .select(
             F.col(key), F.col("_cat").alias("categoria"), F.col(lo), F.col(hi), F.col(label),
             (category_ordinal(F.col(hi)) - category_ordinal(F.col(lo))).alias("largura"),
@@ -117,9 +123,13 @@ def icd_dimension(causes: DataFrame, chapters: DataFrame, key: str = "causabas",
     if not assume_distinct:
         codes = codes.distinct()
     distinct_causes = codes.withColumn("causabas_categoria", F.substring(F.col(key), 1, 3))
-    iv = bounded_broadcast(chapters.select("CATINIC", "CATFIM", "DESCRICAO"), MAX_INTERVAL_ROWS)
-    cat = F.col("causabas_categoria")
-    out = distinct_causes.join(iv, (cat >= F.col("CATINIC")) & (cat <= F.col("CATFIM")), "left").select(
-        key, "causabas_categoria", F.col("DESCRICAO").alias("capitulo_cid10"))
+    # the narrowest interval of a category, so overlapping intervals never multiply certificates; a letter
+    # and two digits make 2,600 categories at most
+    width = category_ordinal(F.col("CATFIM")) - category_ordinal(F.col("CATINIC"))
+    of_category = by_category(chapters, "CATINIC", "CATFIM", "DESCRICAO").groupBy("_ordinal").agg(
+        F.min(F.struct(width.alias("width"), (-category_ordinal(F.col("CATINIC"))).alias("start"), "DESCRICAO")).alias("iv"))
+    of_category = with_row_bound(of_category.select("_ordinal", F.col("iv.DESCRICAO").alias("capitulo_cid10")), 2_600)
+    out = distinct_causes.withColumn("_ordinal", category_ordinal(F.col("causabas_categoria"))).join(
+        bounded_broadcast(of_category), "_ordinal", "left").select(key, "causabas_categoria", "capitulo_cid10")
     bound = getattr(causes, _STATIC_BOUND, None)
     return with_row_bound(out, bound) if bound is not None else out

@@ -124,10 +124,23 @@ def letter_blocks(chapters: list[tuple[str, str, str]]) -> list[tuple[str, str,
     return out
 
 
+def decade_blocks(blocks: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """A third level: each letter block cut into blocks of one decade of categories (A00-A09, A10-A19, ...)."""
+    out = []
+    for lo, hi, _label in blocks:
+        for decade in range(int(lo[1]), int(hi[1]) + 1):
+            d_lo = max(lo, f"{lo[0]}{decade}0")
+            d_hi = min(hi, f"{lo[0]}{decade}9")
+            if (d_lo, d_hi) != (lo, hi):
+                out.append((d_lo, d_hi, f"Dezena {d_lo}-{d_hi}"))
+    return out
+
+
 def nested_intervals(spark: SparkSession) -> DataFrame:
-    """Chapters plus their letter blocks, as one interval table."""
+    """Chapters, their letter blocks and the decades of those: intervals nested three deep."""
     from .. import schema as S
     from .files import INTERVAL_SCHEMA
     from ..operators.dims import with_row_bound
-    rows = S.ICD_CHAPTERS + letter_blocks(S.ICD_CHAPTERS)
+    blocks = letter_blocks(S.ICD_CHAPTERS)
+    rows = S.ICD_CHAPTERS + blocks + decade_blocks(blocks)
     return with_row_bound(spark.createDataFrame(rows, INTERVAL_SCHEMA), len(rows))
