@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from maternis import schema as S  # noqa: E402
@@ -55,6 +55,7 @@ ALL_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 STATE = "NATION_20"
 MUNICIPALITY = "Supplier#000000001"
 ONM_STATE = "NATION_11"
+GC_YEAR = 2022
 AC_YEARS = (2015, 2024)
 # Columns of the per-death mart on which different deaths coincide.
 AC_PROFILE = ("ano", "uf", "racacor", "escolaridade", "periodo_do_obito")
@@ -93,6 +94,15 @@ def _ac_params(level=RP.NATIONAL, regions=ALL_REGIONS):
     return RP.ReportParams(years=AC_YEARS, level=level, regions=regions)
 
 
+def _numbered_uf_table(spark, sf):
+    """The state display table, most maternal deaths first, with the place of each row: one row a state."""
+    table = RP.sorted_table(RP.uf_table(RP.uf_report(_marts(spark, sf)["uf"], YEAR)), ("obitos_maternos", "uf"),
+                            descending=("obitos_maternos",))
+    place = F.row_number().over(Window.orderBy(F.col("obitos_maternos").desc_nulls_last(), F.col("uf").asc_nulls_last(),
+                                               F.col("regiao").asc_nulls_last()))
+    return table.withColumn("posicao", place.cast("long"))
+
+
 def _crosstab_long(spark, sf):
     return X.crosstab_long(_marts(spark, sf)["ac"], "racacor", "ano", _ac_params())
 
@@ -158,6 +168,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _marts(s, d)["onm"], RP.ReportParams(year=YEAR, exclude_external=True)),
         "report_onm_state": lambda s, d: RP.not_considered_report(
             _marts(s, d)["onm"], RP.ReportParams(year=YEAR, level=RP.STATE, state=ONM_STATE), FX.state_lookup(s, d)),
+        "report_gc_nacional_all": lambda s, d: RP.maternal_report(_marts(s, d)["gc"], RP.ReportParams(year=YEAR)),
+        "report_gc_regions": lambda s, d: RP.maternal_report(
+            _marts(s, d)["gc"], RP.ReportParams(year=YEAR, regions=SOME_REGIONS)),
+        "report_gc_municipality": lambda s, d: RP.maternal_report(
+            _marts(s, d)["gc"], RP.ReportParams(year=GC_YEAR, level=RP.MUNICIPAL, state=STATE,
+                                                municipality=MUNICIPALITY), FX.state_lookup(s, d)),
+        "report_onm_regions": lambda s, d: RP.not_considered_report(
+            _marts(s, d)["onm"], RP.ReportParams(year=YEAR, regions=SOME_REGIONS)),
+        "report_onm_municipality": lambda s, d: RP.not_considered_report(
+            _marts(s, d)["onm"], RP.ReportParams(year=YEAR, level=RP.MUNICIPAL, state=STATE,
+                                                 municipality=MUNICIPALITY), FX.state_lookup(s, d)),
+        "crosstab_municipal_level": lambda s, d: X.crosstab_long(
+            _marts(s, d)["ac"], "racacor", "escolaridade",
+            RP.ReportParams(years=AC_YEARS, level=RP.MUNICIPAL, state=STATE, municipality=MUNICIPALITY),
+            FX.state_lookup(s, d)),
+        "uf_table_sorted": lambda s, d: _numbered_uf_table(s, d),
         "report_uf": lambda s, d: RP.uf_report(_marts(s, d)["uf"], YEAR),
         "nested_rollup": lambda s, d: rollup.nested_rollup(_om_table(s, d)),
         # cross analysis
@@ -190,6 +216,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "control_totals": lambda s, d: quality.control_totals(_marts(s, d)["om"], _marts(s, d)["ac"]),
         # table search and formatting
         "search_any": lambda s, d: search.search_any(_om_table(s, d), "parda"),
+        "filter_column": lambda s, d: search.filter_column(_om_table(s, d), "tipo_de_morte_materna", "DIRETA"),
         "filter_contains": lambda s, d: search.filter_contains(_om_table(s, d), "tipo_de_morte_materna", "ireta"),
         "long_date_pt": lambda s, d: FX.table(s, d, "orders").select(
             "o_orderkey", C.long_date_pt("o_orderdate").alias("data_por_extenso")),
@@ -293,6 +320,22 @@ gm AS (
             "onm", "all", YEAR, O.ONM_ATTRS, O.COMMON_ONM,
             extra_where=f" AND capitulo_cid10 <> {O._q(S.EXTERNAL_CHAPTER)}"),
         "report_onm_state": O.report_sql("onm", "state", YEAR, O.ONM_ATTRS, O.COMMON_ONM, state=ONM_STATE),
+        "report_gc_nacional_all": O.report_sql("gc", "all", YEAR, O.OM_ATTRS, O.COMMON_OM),
+        "report_gc_regions": O.report_sql("gc", "regions", YEAR, O.OM_ATTRS, O.COMMON_OM, regions=SOME_REGIONS),
+        "report_gc_municipality": O.report_sql("gc", "municipality", GC_YEAR, O.OM_ATTRS, O.COMMON_OM, state=STATE,
+                                               municipality=MUNICIPALITY),
+        "report_onm_regions": O.report_sql("onm", "regions", YEAR, O.ONM_ATTRS, O.COMMON_ONM, regions=SOME_REGIONS),
+        "report_onm_municipality": O.report_sql("onm", "municipality", YEAR, O.ONM_ATTRS, O.COMMON_ONM, state=STATE,
+                                                municipality=MUNICIPALITY),
+        "crosstab_municipal_level": W(
+            "SELECT racacor AS variavel_linha, escolaridade AS variavel_coluna, COUNT(*) AS obitos FROM ac "
+            f"WHERE ano BETWEEN {AC_YEARS[0]} AND {AC_YEARS[1]} AND racacor IS NOT NULL AND idade BETWEEN 10 AND 49 "
+            f"AND municipio = {O._q(MUNICIPALITY)} AND {O.state_in(STATE)} GROUP BY ALL"),
+        "uf_table_sorted": W(
+            "SELECT *, row_number() OVER (ORDER BY obitos_maternos DESC NULLS LAST, uf ASC NULLS LAST, regiao ASC NULLS LAST) "
+            "AS posicao FROM (SELECT uf, regiao, "
+            + ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in S.UF_COUNT_COLUMNS)
+            + f" FROM uf_mart WHERE ano = {YEAR} AND idade BETWEEN 10 AND 49 GROUP BY uf, regiao)"),
         "report_uf": W(
             "SELECT uf, regiao, ano, " + ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in S.UF_COUNT_COLUMNS)
             + f" FROM uf_mart WHERE ano = {YEAR} AND idade BETWEEN 10 AND 49 GROUP BY uf, regiao, ano"),
@@ -349,6 +392,7 @@ gm AS (
             "SELECT ano, CAST(SUM(om_n) AS BIGINT) AS obitos_om, CAST(SUM(ac_n) AS BIGINT) AS linhas_ac FROM ("
             "SELECT ano, obitos AS om_n, 0 AS ac_n FROM om UNION ALL SELECT ano, 0, 1 FROM ac) GROUP BY ano"),
         "search_any": W(f"SELECT * FROM ({om_table}) WHERE {search_cond}"),
+        "filter_column": W(f"SELECT * FROM ({om_table}) WHERE contains(lower(tipo_de_morte_materna), 'direta')"),
         "filter_contains": W(f"SELECT * FROM ({om_table}) WHERE contains(tipo_de_morte_materna, 'ireta')"),
         "long_date_pt": (
             "SELECT o_orderkey, strftime(o_orderdate, '%d') || ' de ' || "

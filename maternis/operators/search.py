@@ -18,3 +18,8 @@ def search_any(df: DataFrame, term: str) -> DataFrame:
 def filter_contains(df: DataFrame, column: str, value: str) -> DataFrame:
     """Rows whose ``column`` contains ``value`` (case-sensitive substring)."""
     return df.where(F.col(column).contains(value))
+
+
+def filter_column(df: DataFrame, column: str, term: str) -> DataFrame:
+    """The ordinary per-column filter: rows whose ``column``, as text, contains ``term`` in any case."""
+    return df.where(F.lower(F.col(column).cast("string")).contains(F.lit(term.lower())))

@@ -51,6 +51,48 @@ class ReportParams:
         return self.regions is None or len(self.regions) == ALL_REGIONS_COUNT
 
 
+COUNT_LEVELS = (NATIONAL, STATE, MUNICIPAL)
+
+
+def check_params(p: ReportParams, levels: tuple[str, ...], states: DataFrame | None) -> None:
+    """Raise ``ValueError`` for parameters that no report can answer."""
+    if p.level not in levels:
+        raise ValueError(f"level {p.level!r}: this report has {', '.join(levels)}")
+    if p.level in (STATE, MUNICIPAL) and (states is None or not p.state):
+        raise ValueError(f"level {p.level!r} needs the state table and a state")
+    if p.level == MUNICIPAL and not p.municipality:
+        raise ValueError("level 'Municipal' needs a municipality")
+    if p.level == REGIONAL and not p.region:
+        raise ValueError("level 'Regional' needs a region")
+    if p.year is None and p.years is None:
+        raise ValueError("a report needs a year or a range of years")
+    for name, bounds in (("years", p.years), ("age_range", p.age_range)):
+        if bounds is not None and bounds[0] > bounds[1]:
+            raise ValueError(f"{name} {bounds}: the first bound is above the second")
+
+
+def empty_choices(p: ReportParams) -> list[str]:
+    """Names of the choice lists from which nothing is chosen: the report is empty before any job runs."""
+    return [c for c in ("regions", "races", "cause_types", "periods", "committee") if getattr(p, c) == ()]
+
+
+def has_rows(report: DataFrame) -> bool:
+    """Whether a report has anything to show (reads one row)."""
+    return not report.isEmpty()
+
+
+def sorted_table(table: DataFrame, by: tuple[str, ...] = ("capitulo_cid10", "causabas_categoria"),
+                 descending: tuple[str, ...] = ()) -> DataFrame:
+    """A display table in the order of the columns ``by`` (the view's default order, or any the reader
+    clicks); nulls come last, and ties follow the other columns, so that the order is the same every time."""
+    missing = [c for c in by if c not in table.columns]
+    if missing:
+        raise ValueError(f"no such column: {', '.join(missing)}")
+    rest = [c for c in table.columns if c not in by]
+    return table.orderBy(*[F.col(c).desc_nulls_last() if c in descending else F.col(c).asc_nulls_last() for c in by],
+                         *[F.col(c).asc_nulls_last() for c in rest])
+
+
 def in_choice(c: str, values: tuple | None) -> Column:
     """Membership in a choice list; ``None`` = all non-null values; () = nothing."""
     col = F.col(c)
@@ -105,6 +147,7 @@ def level_filter(df: DataFrame, p: ReportParams, states: DataFrame | None, alway
 
 def _report(mart: DataFrame, p: ReportParams, states: DataFrame | None, attrs: list[str],
             with_cause_type: bool) -> DataFrame:
+    check_params(p, COUNT_LEVELS, states)
     df = common_filter(mart, p, with_cause_type)
     df = level_filter(df, p, states)
     if p.level == NATIONAL and p.all_regions:
@@ -132,6 +175,7 @@ def maternal_report(mart: DataFrame, p: ReportParams, states: DataFrame | None =
 def not_considered_report(mart: DataFrame, p: ReportParams, states: DataFrame | None = None) -> DataFrame:
     """Not-considered deaths report; optionally without chapter XX (exact match:
     a null chapter is dropped too when the option is on)."""
+    check_params(p, COUNT_LEVELS, states)
     if p.exclude_external:
         mart = mart.where(~C.is_external_chapter())
     df = common_filter(mart, p, with_cause_type=False)
@@ -164,4 +208,11 @@ LEVEL_DROPS = {
 
 def report_table(report: DataFrame, level: str) -> DataFrame:
     """Display projection: the geography and year columns fixed by the level are dropped."""
+    if level not in LEVEL_DROPS:
+        raise ValueError(f"level {level!r}: display tables have {', '.join(LEVEL_DROPS)}")
     return report.drop(*LEVEL_DROPS[level])
+
+
+def uf_table(report: DataFrame) -> DataFrame:
+    """Display projection of the state report: every column but the year."""
+    return report.drop("ano")
