@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_counts, itq, link_graph, mixing, nbsvm, order_minhash, quality_rules, secret_scan, token_files
+from . import bpe, edit_counts, itq, link_graph, mixing, nbsvm, oracles, order_minhash, quality_rules, secret_scan, token_files
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,4 +80,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_link_graph": oracles.link_graph_sql(),
+}

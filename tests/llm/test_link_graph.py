@@ -91,6 +91,20 @@ def test_query_against_brute_force(spark):
     assert got == brute(pages) and {r[4] for r in got} == {"allow", "block"}
 
 
+def test_oracle_sql_against_brute_force():
+    import duckdb
+
+    from maternis.llm.oracles import link_graph_sql
+    links = [(1, "http://bad.net/es/1", link("https://good.org/")), (2, "http://farm.org/x", link("http://bad.net/es/1", "//bad.net/")),
+             (3, "http://farm2.org", link("http://farm.org/x", "http://bad.net/")), (4, "https://a.com/", link("http://ok.org/?q")),
+             (5, "http://ok.org/y", link("http://farm.org/")), (8, None, link("http://z.org")), (9, "nothing", None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", links)
+    got = con.execute(link_graph_sql()).fetchall()
+    assert sorted((k, h, p, r or "", v) for k, h, p, r, v in got) == brute(links)
+
+
 def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "http://a.net/es/", "", "x", "y")], "page_id bigint, url string, html string, host string, rule string")
     assert rows(L.judge_urls(df)) == [(1, "a.net", "/es/", "net/es/", "block")]
