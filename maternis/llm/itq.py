@@ -55,8 +55,8 @@ def learn_rotation(x: np.ndarray, turns: int = TURNS) -> tuple[np.ndarray, np.nd
     """(mean, projection) of the codes: sign((v - mean) @ projection)."""
     mean = x.mean(0)
     bits = min(64, x.shape[1])
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-    main = axes[:bits].T
+    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
+    main = axes[:, ::-1][:, :bits]  # the axes of most variance first
     v = (x - mean) @ main
     r = np.linalg.qr(np.random.default_rng(9).normal(size=(bits, bits)))[0]
     for _ in range(turns):
