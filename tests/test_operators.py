@@ -163,7 +163,13 @@ def test_interval_join_narrowest(spark):
     keys = spark.createDataFrame([("A34",), ("B249",), ("O000",), ("D49",), ("U071",)], "causabas string")
     m = dims.interval_matches(keys, "causabas", FX.nested_intervals(spark))
     n = {r.causabas: r.DESCRICAO for r in dims.narrowest_interval(m, "causabas").collect()}
-    assert n["A34"] == "Bloco A00-A99" and n["B249"] == "Bloco B00-B99"
+    assert n["A34"] == "Dezena A30-A39" and n["B249"] == "Dezena B20-B29"
+    every = {(r.causabas, r.DESCRICAO.split(" ")[0]) for r in m.collect()}
+    assert {("A34", "Bloco"), ("A34", "Dezena")} < every and sum(k == "A34" for k, _ in every) == 3
+    # overlapping chapters never multiply a cause
+    twice = spark.createDataFrame([("A00", "B99", "wide"), ("A30", "A39", "narrow")], "CATINIC string, CATFIM string, DESCRICAO string")
+    assert {r.causabas: r.capitulo_cid10 for r in dims.icd_dimension(keys, twice).collect()} == {
+        "A34": "narrow", "B249": "wide", "O000": None, "D49": None, "U071": None}
     assert n["O000"].startswith("XV ") and n["U071"].startswith("XXII ")
     assert "D49" not in n  # gap between chapters II (to D48) and III (from D50)
 
