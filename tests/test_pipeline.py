@@ -58,14 +58,14 @@ def test_entry_smoke(spark):
 
 def _oracle(sf_dir):
     con = duckdb.connect()
-    for t in ["region", "nation", "supplier", "orders", "lineitem", "documents"]:
+    for t in ["region", "nation", "supplier", "orders", "lineitem", "documents", "pages"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
 
 
 import __spark_entry__ as _E  # noqa: E402
 
-_NAMES = sorted(_E.queries())
+_NAMES = sorted(_E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", _NAMES)
