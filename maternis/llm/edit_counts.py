@@ -54,7 +54,7 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def counts(self, pieces: list[str]) -> list[int]:
-        new = list(set(pieces) - self.known.keys())
+        new = [p for p in set(pieces) if p not in self.known]
         if new:
             if len(self.known) + len(new) > CACHE_ENTRIES:
                 self.known.clear()
