@@ -24,6 +24,7 @@ repeated rows give repeated results; special strings are ordinary text.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -189,7 +190,18 @@ def apply_edits(tree: Tree, text: str, edits: list, vocabulary: Counter) -> tupl
 # ---------------------------------------------------------------------------
 # Spark
 # ---------------------------------------------------------------------------
-STATE = "lengths array<int>, counts array<int>"
+# Little-endian 32-bit integers: a list of millions of Python integers would cost more than the counting.
+STATE = "lengths binary, counts binary"
+
+
+def packed(numbers: list[int]) -> bytes:
+    return array("i", numbers).tobytes()
+
+
+def unpacked(raw: bytes) -> list[int]:
+    out = array("i")
+    out.frombytes(raw)
+    return out.tolist()
 
 
 def build_trees(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text",
@@ -199,27 +211,30 @@ def build_trees(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
         v = counter(vocabulary)
         for k, t, *other in zip(*columns):
             pieces = v.pattern.findall(t)
-            yield (k, t, *other, list(map(len, pieces)), v.counts(pieces))
+            yield (k, t, *other, packed(list(map(len, pieces))), packed(v.counts(pieces)))
     types = dict(docs.dtypes)
     return map_rows(docs.select(key, text_or_empty(text).alias(text), *keep), rows,
                     f"{key} {types[key]}, {text} string, " + "".join(f"{c} {types[c]}, " for c in keep) + STATE)
 
 
 def edit_trees(trees: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text",
-               edits: str = "edits") -> DataFrame:
-    """Apply each row's ``edits`` (array<struct<start, end, replacement>>) to its tree:
-    ``key, text, lengths, counts`` of the new state, and ``tokens_before, n_edits, n_encoded, n_tokens``."""
+               edits: str = "edits", state: bool = True) -> DataFrame:
+    """Apply each row's ``edits`` (array<struct<start, end, replacement>>) to its tree: ``key, tokens_before,
+    n_edits, n_encoded, n_tokens`` and, with ``state``, the new ``text, lengths, counts`` to be stored."""
     def rows(columns: list[list]) -> Iterator[tuple]:
         v = counter(vocabulary)
         for k, t, lengths, counts, changes in zip(*columns):
-            tree = Tree(lengths, counts)
+            tree = Tree(unpacked(lengths), unpacked(counts))
             before = tree.total
             t, made, encoded = apply_edits(tree, t, changes or [], v)
-            yield (k, t, [x for n, _ in tree.leaves for x in n], [x for _, c in tree.leaves for x in c],
-                   before, made, encoded, tree.total)
+            out = k, before, made, encoded, tree.total
+            if state and made:
+                lengths = packed([x for n, _ in tree.leaves for x in n])
+                counts = packed([x for _, c in tree.leaves for x in c])
+            yield (*out, t, lengths, counts) if state else out
     return map_rows(trees.select(key, text, "lengths", "counts", edits), rows,
-                    f"{key} {dict(trees.dtypes)[key]}, {text} string, {STATE}, tokens_before bigint, n_edits bigint, "
-                    "n_encoded bigint, n_tokens bigint")
+                    f"{key} {dict(trees.dtypes)[key]}, tokens_before bigint, n_edits bigint, n_encoded bigint, n_tokens bigint"
+                    + f", {text} string, {STATE}" * state)
 
 
 def masking_edits(text: Column) -> Column:
@@ -238,5 +253,5 @@ def count_after_masking(docs: DataFrame, vocabulary: str, key: str = "doc_id", t
     """``key, tokens_before, n_edits, n_encoded, n_tokens``: trees of all documents, edited by ``masking_edits``."""
     slim = docs.select(key, text_or_empty(text).alias(text))
     edited = edit_trees(build_trees(slim.withColumn("edits", masking_edits(F.col(text))), vocabulary, key, text, ("edits",)),
-                        vocabulary, key, text)
+                        vocabulary, key, text, state=False)
     return edited.select(key, "tokens_before", "n_edits", "n_encoded", "n_tokens")

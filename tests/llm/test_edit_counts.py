@@ -78,3 +78,10 @@ def test_nulls_repeats_clashes_and_empty_table(spark):
     assert E.count_after_masking(df.limit(0), PATH).collect() == []
     trees = E.build_trees(df, PATH).selectExpr("*", "cast(null as array<struct<start:int,end:int,replacement:string>>) edits")
     assert sum(r.n_edits for r in E.edit_trees(trees, PATH).collect()) == 0
+    # the new state is the tree of the new text, and can be edited again
+    change = "array(named_struct('start', 5, 'end', 14, 'replacement', '9'))"
+    once = E.edit_trees(trees.selectExpr("doc_id", "text", "lengths", "counts", f"{change} edits").where("doc_id = 2"), PATH)
+    for r in once.collect():
+        assert r.text == "call 9 now" and E.unpacked(r.lengths) == [4, 2, 4] and sum(E.unpacked(r.counts)) == r.n_tokens
+    again = E.edit_trees(once.selectExpr("doc_id", "text", "lengths", "counts", "array(named_struct('start', 0, 'end', 4, 'replacement', 'ring')) edits"), PATH)
+    assert {(r.text, r.n_tokens) for r in again.collect()} == {("ring 9 now", count("ring 9 now"))}
