@@ -2,8 +2,9 @@
 
 Every query reads the benchmark tables (certificates derived from
 ``lineitem``; dimensions from ``supplier``/``nation``/``region``; ``orders``;
-``documents``) and runs over the whole tables. Each has an independent DuckDB
-oracle in ``oracle_sql()``.
+``documents``) and runs over the whole tables. Each of the reference's own
+operators has an independent DuckDB oracle in ``oracle_sql()``; the training-data
+operators of ``maternis.llm`` are tested against brute force.
 """
 
 from __future__ import annotations
