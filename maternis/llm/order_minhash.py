@@ -12,8 +12,16 @@ them. With M shingles aligned,
 
 (the Jaccard similarity of the shingles, restricted to those in the same
 order). The sets of different shingles must have that Jaccard similarity too,
-so that one line repeated hundreds of times makes no texts alike. A pair of similarity 0.8 shares a given sketch with probability
-0.8 ** 8, and none of the 40 with 6e-4; at 0.85 it is 3e-6.
+so that one line repeated hundreds of times makes no texts alike.
+
+A pair with M shingles aligned of U = n + m - M shares a given sketch with
+probability C(M, LENGTH) / C(U, LENGTH), which tends to 0.8 ** 8 for long texts
+of similarity 0.8 but is far less for short ones. So texts of few shingles have
+further sketches of fewer shingles (``SHORT``). As neither text of a pair has
+more than U shingles, both have those that U asks for. A pair of similarity 0.8
+is missed with at most 1e-3, whatever its length: 3e-4 at U = 5, under 2e-5 from
+6 to 40, under 1e-4 to 160, 9.2e-4 just above, 6e-4 for long texts; at 0.85 it
+is 6e-6 for long texts at most.
 
 Copies (equal word sequences) are one class and are compared once, by the copy
 with the smallest id. Within a sketch's bucket every member is first compared
@@ -48,13 +56,16 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 40
 LENGTH = 8
+#: Further sketches of texts of at most so many shingles: (shingles, sketches, length).
+SHORT = ((160, 12, 6), (40, 16, 3))
 #: Turns in which a bucket is compared with one of its members, before the pairs that are left.
 TURNS = 2
 #: Members of a block of a bucket.
 BLOCK = 256
 
-_MULTIPLY = (np.random.default_rng(20).integers(1 << 62, (1 << 63) - 1, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = np.random.default_rng(21).integers(0, (1 << 63) - 1, SKETCHES, dtype=np.uint64)
+_ALL = SKETCHES + sum(sketches for _, sketches, _ in SHORT)
+_MULTIPLY = (np.random.default_rng(20).integers(1 << 62, (1 << 63) - 1, _ALL, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = np.random.default_rng(21).integers(0, (1 << 63) - 1, _ALL, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -94,20 +105,25 @@ def occurrences(seq: np.ndarray) -> np.ndarray:
 
 
 def sketch_keys(seq: np.ndarray) -> np.ndarray:
-    """The SKETCHES keys of a shingle sequence, as signed 64-bit numbers."""
+    """The keys of a shingle sequence, SKETCHES and those of SHORT, as signed 64-bit numbers.
+
+    A text of fewer shingles than a sketch's length has no such key, which only copies could share."""
     labelled = mix(seq + occurrences(seq).astype(np.uint64) * _MIX[2])
-    take = min(LENGTH, len(seq))
-    if take == len(seq):
-        places = np.broadcast_to(np.arange(take), (SKETCHES, take))
-    else:
+    out, first = [np.empty(0, np.uint64)], 0
+    for most, sketches, take in ((len(seq), SKETCHES, LENGTH), *SHORT):
+        no = np.arange(first, first + sketches)
+        first += sketches
+        if not take <= len(seq) <= most:
+            continue
         rows = max(1, (1 << 20) // len(seq))  # bounds the memory of a very long text
-        places = np.concatenate([np.argpartition(labelled * _MULTIPLY[i:i + rows, None] + _ADD[i:i + rows, None],
-                                                 take - 1, axis=1)[:, :take] for i in range(0, SKETCHES, rows)])
+        places = np.concatenate([np.argpartition(labelled * _MULTIPLY[no[i:i + rows], None] + _ADD[no[i:i + rows], None],
+                                                 take - 1, axis=1)[:, :take] for i in range(0, sketches, rows)])
         places.sort(axis=1)  # text order
-    keys = np.arange(SKETCHES, dtype=np.uint64)
-    for j in range(take):
-        keys = mix(keys) + labelled[places[:, j]]
-    return mix(keys).view(np.int64)
+        keys = no.astype(np.uint64)
+        for j in range(take):
+            keys = mix(keys) + labelled[places[:, j]]
+        out.append(mix(keys))
+    return np.concatenate(out).view(np.int64)
 
 
 # ---------------------------------------------------------------------------

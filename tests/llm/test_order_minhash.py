@@ -83,6 +83,33 @@ def test_planted_copies_against_brute_force(spark, monkeypatch):
     assert all(kept == (k == c) for k, (c, kept) in got.items())
 
 
+def test_short_texts_with_a_word_appended_or_changed(spark):
+    rng = np.random.default_rng(3)
+    edits = [lambda w: w + ["one"], lambda w: ["one"] + w, lambda w: w[1:], lambda w: w[:-1] + ["two"],
+             lambda w: w[:len(w) // 2] + ["six"] + w[len(w) // 2 + 1:]]
+    texts = []
+    for n in [*range(8, 21), 22, 30, 44, 60]:
+        for edit in edits * 12:
+            words = [f"v{x}" for x in rng.integers(1 << 40, size=n)]  # so that only the two of a pair are alike
+            texts += [" ".join(words), " ".join(edit(words))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(df).collect()}
+    same = [alike(*(O.shingles(O.word_hashes(t)) for t in texts[k:k + 2])) for k in range(0, len(texts), 2)]
+    assert got == {k: k - k % 2 if same[k // 2] else k for k in range(len(texts))} and sum(same) > 500
+
+
+def test_short_texts_share_keys_by_the_stated_probability():
+    from math import comb
+    lengths = [(m, n, k) for m, n, k in ((10 ** 9, O.SKETCHES, O.LENGTH), *O.SHORT)]
+    for union in range(5, 1000):
+        common = -(-4 * union // 5)
+        miss = 1.0
+        for most, sketches, take in lengths:
+            if take <= union <= most:
+                miss *= (1 - comb(common, take) / comb(union, take)) ** sketches
+        assert miss < 1e-3, union
+
+
 def test_query_against_brute_force(spark):
     from maternis.llm.queries import op5_order_minhash
     sf = "/root/testdata/sf0.001"
