@@ -34,12 +34,13 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a maximal run of 24 or more, as runs that fail are dropped whole
 #: Weak parts: an upper-case identifier with a digit, or a named account; a long mixed string, or a shorter
-#: hexadecimal one; a web address, or an IPv4 address with a port.
-WEAK_ID = (r"\b(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,40}\b"
-           r"|(?i:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}")
-WEAK_SECRET = (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,200}[a-z])(?=[A-Za-z0-9+/]{0,200}[A-Z])(?=[A-Za-z0-9+/]{0,200}[0-9])"
-               r"[A-Za-z0-9+/]{32,200}={0,2}(?![A-Za-z0-9+/=])|\b(?=[a-f]*[0-9])[0-9a-f]{16,23}\b")
-ENDPOINT = r"https?://[A-Za-z0-9][^\s\"'<>]{2,200}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b"
+#: hexadecimal one (a longer one is of the base); a web address, or an IPv4 address with a port. None has a greatest
+#: length but the last; possessive quantifiers keep the matching of long runs linear.
+WEAK_ID = (r"\b(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{16,}+\b"
+           r"|(?i:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}+")
+WEAK_SECRET = (r"(?<![A-Za-z0-9+/=])(?=[A-Z0-9+/]*+[a-z])(?=[a-z0-9+/]*+[A-Z])(?=[A-Za-z+/]*+[0-9])"
+               r"[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])|\b(?=[a-f]*[0-9])[0-9a-f]{16,23}\b")
+ENDPOINT = r"https?://[A-Za-z0-9][^\s\"'<>]{2,}+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b"
 #: What a text must hold for its weak parts to matter: cheap to look for.
 HINT = r"[A-Z0-9]{16}|[A-Za-z0-9+/]{32}|[0-9a-f]{16}|https?://|[0-9]:[0-9]{2}|[:=]"
 

@@ -61,6 +61,24 @@ def test_against_brute_force(spark):
     assert got[10][4].count("weak_secret") == 1 and got[12][4] == "" and "endpoint" in got[13][4]
 
 
+def test_long_credentials_are_whole(spark):
+    mixed = lambda n: ("aZ3+/Qx9" * n)[:n]
+    name, address = "Q7" * 30, "https://a.example/" + "p/" * 241
+    secrets = [mixed(n) for n in (200, 201, 400, 1600, 200_000)] + [mixed(1600) + "=="]
+    texts = [f"{ID} {x} end" for x in secrets]
+    spans = [f"access:0:20,weak_secret:21:{21 + len(x)}" for x in secrets]
+    texts += [f"{name} {KEY}", f"login={'a.b' * 40} {KEY}", f"{address} {ID} {KEY}"]
+    spans += ["weak_id:0:60,weak_secret:61:101", "weak_id:0:126,weak_secret:127:167",
+              "endpoint:0:500,access:501:521,weak_secret:522:562"]
+    # the scope starts from the whole address
+    texts += [address + " " * 195 + KEY, "x" * 5000 + mixed(1600)]
+    spans += ["weak_secret:695:735", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.spans for r in S.secret_report(df).collect()} == dict(enumerate(spans))
+    clear = {r.doc_id: r.text for r in S.mask_secrets(df).collect()}
+    assert [clear[i] for i in range(9)] == ["[SECRET] [SECRET] end"] * 6 + ["[SECRET] [SECRET]"] * 2 + ["[SECRET] [SECRET] [SECRET]"]
+
+
 def test_query_against_brute_force(spark):
     from maternis.llm.queries import op2_secret_scan
     sf = "/root/testdata/sf0.01"
