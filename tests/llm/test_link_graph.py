@@ -83,6 +83,30 @@ def test_propagation_against_brute_force(spark):
     assert {r[4] for r in got if r[1] == "loner.org"} == {"allow"}
 
 
+def test_walks_go_on_until_no_verdict_can_change(spark):
+    # a chain of hosts that leads to a blocked one, and a ring with a trusted one, among 1,000 hosts
+    hops = 60
+    pages = [(0, "http://bad.net/es/1", "")]
+    pages += [(k, f"http://hop{k}.org/", link(f"http://hop{k - 1}.org/" if k > 1 else "http://bad.net/es/1")) for k in range(1, hops + 1)]
+    pages += [(k, f"http://alone{k}.org/", "") for k in range(hops + 1, 998)]
+    pages += [(998, "http://ring.com/", link("http://ring1.org/")), (999, "http://ring1.org/", link("http://ring.com/"))]
+    got = {h: v for _, h, _, _, v in rows(L.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")))}
+    # the score of hop k is (1 - d) * d ** k, over 0.1 / 1000 up to hop 44
+    over = [k for k in range(1, hops + 1) if 0.15 * 0.85 ** k > 0.1 / 1000]
+    assert over[-1] == 44 and [k for k in range(1, hops + 1) if got[f"hop{k}.org"] == "block"] == over
+    assert {v for h, v in got.items() if not h.startswith("hop") and h != "bad.net"} == {"allow"}
+
+
+def test_walk_around_a_ring_is_converged(spark):
+    edges = spark.createDataFrame([("a", "b", 3), ("b", "a", 1), ("b", "c", 1)], "a string, b string, n bigint")
+    hosts = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.0)], "host string, seed double")
+    got = {r.host: r.score for r in L.spread(hosts, edges, "seed", "a", "b", 1e-6).collect()}
+    d = L.DAMPING
+    a = (1 - d) / (1 - d * d / 2)  # a = (1 - d) + d * b / 2, b = d * a, c = d * b / 2
+    want = {"a": a, "b": d * a, "c": d * d * a / 2}
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) <= 1e-6 for h in want)
+
+
 def test_query_against_brute_force(spark):
     from maternis.llm.queries import op6_link_graph
     sf = "/root/testdata/sf0.01"
