@@ -107,6 +107,16 @@ def test_walk_around_a_ring_is_converged(spark):
     assert got.keys() == want.keys() and all(abs(got[h] - want[h]) <= 1e-6 for h in want)
 
 
+def test_many_host_links_against_converged_brute_force(spark, monkeypatch):
+    pick = lambda salt: f"array('h', 'www.h')[pmod(xxhash64(id, {salt}), 2)] || pmod(xxhash64(id, {salt}), 97) || array('.org', '.org', '.org', '.com', '.net')[pmod(xxhash64(id, {salt}), 5)]"
+    links = " || ".join(f"'<a href=\"http://' || {pick(k)} || '/\">'" for k in range(1, 5))
+    df = spark.range(1500).selectExpr("id AS page_id", f"'http://' || {pick(0)} || '/es/' || id AS url", f"{links} AS html")
+    pages = [tuple(r) for r in df.collect()]
+    got = rows(L.judge_urls(df))
+    monkeypatch.setattr(L, "TURNS", 300)  # of the brute force
+    assert got == brute(pages) and {r[4] for r in got if not r[3]} == {"allow", "block"}
+
+
 def test_query_against_brute_force(spark):
     from maternis.llm.queries import op6_link_graph
     sf = "/root/testdata/sf0.01"
