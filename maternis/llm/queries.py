@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_counts, itq, link_graph, mixing, nbsvm, oracles, order_minhash, quality_rules, secret_scan, token_files
+from . import (bpe, edit_counts, itq, link_graph, mixing, nbsvm, oracles, order_minhash, packing, quality_rules, secret_scan,
+               token_files)
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +68,16 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "failed_rule")
 
 
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = written(packing.encoded_pieces(table(spark, sf, "documents"), WORD_VOCABULARY), "pieces")
+    digests = pieces.select("uid", "doc_id", "piece", "start", F.col("length").cast("bigint").alias("n"),
+                            F.crc32("ids").alias("ids_crc32"))
+    places = packing.placed(pieces.select("uid", "length"))
+    return digests.join(places, "uid").select(
+        "doc_id", "piece", "start", F.col("n").alias("length"), "ids_crc32", "sequence_id",
+        F.col("offset").cast("bigint").alias("offset"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -78,6 +89,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_itq": op9_itq,
     "op10_quality_rules": op10_quality_rules,
+    "op11_packing": op11_packing,
 }
 
 ORACLES: dict[str, str] = {
