@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import collocations as C
 from . import link_graph as L
 
 
@@ -41,3 +42,38 @@ def link_graph_sql() -> str:
                 f"WHERE coalesce(d.s, 0) - coalesce(t.s, 0) > {L.MARGIN} / (SELECT count(*) FROM hosts))")
     return ("WITH " + ", ".join(ctes) + " SELECT page_id, host, path, rule, CASE WHEN coalesce(allow, host NOT IN "
             "(SELECT host FROM blocked)) THEN 'allow' ELSE 'block' END AS verdict FROM r")
+
+
+def collocations_sql() -> str:
+    """``op13_collocations``: every phrase of up to three words counted, then cuts, containment and ranks."""
+    ctes = [
+        "d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), "
+        f"'{L.UPPER}', '{L.LOWER}') AS t FROM documents)",
+        "p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)",
+        "w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p)",
+        "n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang)",
+    ]
+    for size in (1, 2, 3):
+        cols = ", ".join(f"w[i + {k}] AS w{k}" for k in range(size))
+        names = ", ".join(f"w{k}" for k in range(size))
+        ctes.append(f"f{size} AS MATERIALIZED (SELECT lang, {names}, count(*) AS f FROM (SELECT lang, {cols} FROM (SELECT lang, w, "
+                    f"unnest(range(1, len(w) + 2 - {size})) AS i FROM w)) GROUP BY lang, {names} HAVING count(*) >= {C.MIN_COUNT})")
+    score = f"(CAST(a.f AS HUGEINT) * a.f * {C.SCALE}) // (CAST(x.f AS HUGEINT) * y.f)"
+    two, three = "a.w0 || ' ' || a.w1", "a.w0 || ' ' || a.w1 || ' ' || a.w2"
+    longer = lambda on: (f"NOT EXISTS (SELECT 1 FROM f3 z WHERE z.lang = a.lang AND {on} "
+                         f"AND 100 * z.f >= {C.CONTAINED_PERCENT} * a.f)")
+    ctes += [
+        f"c2 AS (SELECT a.lang, {two} AS phrase, a.f AS a, x.f AS l, y.f AS r, {score} AS score FROM f2 a "
+        "JOIN f1 x ON x.lang = a.lang AND x.w0 = a.w0 JOIN f1 y ON y.lang = a.lang AND y.w0 = a.w1 "
+        f"WHERE {longer('z.w0 = a.w0 AND z.w1 = a.w1')} AND {longer('z.w1 = a.w0 AND z.w2 = a.w1')})",
+        f"k1 AS (SELECT a.lang, {three} AS phrase, a.f AS a, x.f AS l, y.f AS r, {score} AS score, 1 AS k FROM f3 a "
+        "JOIN f1 x ON x.lang = a.lang AND x.w0 = a.w0 JOIN f2 y ON y.lang = a.lang AND y.w0 = a.w1 AND y.w1 = a.w2)",
+        f"k2 AS (SELECT a.lang, {three} AS phrase, a.f AS a, x.f AS l, y.f AS r, {score} AS score, 2 AS k FROM f3 a "
+        "JOIN f2 x ON x.lang = a.lang AND x.w0 = a.w0 AND x.w1 = a.w1 JOIN f1 y ON y.lang = a.lang AND y.w0 = a.w2)",
+        "c3 AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o "
+        "FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2)) WHERE o = 1)",
+        "c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM "
+        "(SELECT * FROM c2 UNION ALL SELECT * FROM c3))",
+    ]
+    return ("WITH " + ", ".join(ctes) + " SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score "
+            f"FROM c JOIN n USING (lang) WHERE rank <= {C.TOP}")

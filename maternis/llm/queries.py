@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, edit_counts, itq, link_graph, mixing, nbsvm, oracles, order_minhash, packing, quality_rules, secret_scan,
-               token_files)
+from . import (bpe, collocations, edit_counts, itq, link_graph, mixing, nbsvm, oracles, order_minhash, packing, quality_rules,
+               secret_scan, spelling, token_files)
 from .common import scratch_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,14 @@ def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("offset").cast("bigint").alias("offset"))
 
 
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"), word_of=spelling.altered)
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -90,8 +98,11 @@ QUERIES = {
     "op9_itq": op9_itq,
     "op10_quality_rules": op10_quality_rules,
     "op11_packing": op11_packing,
+    "op12_spelling": op12_spelling,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op6_link_graph": oracles.link_graph_sql(),
+    "op13_collocations": oracles.collocations_sql(),
 }
