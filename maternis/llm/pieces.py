@@ -1,7 +1,8 @@
 """Columnar encoding of whole texts: each distinct piece of text is encoded once.
 
-The bytes of an Arrow column are cut before runs of blanks and line feeds, where
-the pre-tokens of both vocabularies end whatever stands around. The pieces of a
+The bytes of an Arrow column are cut before runs of blanks and line feeds, and
+between letters and stops, where the pre-tokens of both vocabularies end whatever
+stands around. The pieces of a
 slice are one Arrow array over the same bytes; it is dictionary-encoded, only its
 distinct pieces are looked up in a bounded cache, and their ids are gathered by
 offsets. No Python object is made for an occurrence of a piece.
@@ -25,6 +26,10 @@ JOINED = 1000
 U4 = np.dtype("<u4")
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?)"]] = True
 
 
 def load_tokenizer(path: str):
@@ -62,7 +67,8 @@ def byte_strings(strings: pa.Array) -> list[bytes]:
 
 
 def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Where pieces start: at each text, and at a blank or line feed after what is surely no white space.
+    """Where pieces start: at each text, at a blank or line feed after what is surely no white space, and at
+    a full stop or the like after a plain letter.
 
     Characters of the blocks that hold the other white space (U+0080, U+1680, U+2000-207F, U+3000) are
     taken for white space; a piece is only longer for it."""
@@ -79,7 +85,7 @@ def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
                 at = at[np.isin(d[at + 1], (0x80, 0x81, 0x9A))]
             last = at + size - 1
             white[last[last < len(d)]] = True
-        start[1:] = ((d[1:] == 32) | (d[1:] == 10)) & ~white[:-1]
+        start[1:] = ((d[1:] == 32) | (d[1:] == 10)) & ~white[:-1] | _STOP[d[1:]] & _LETTER[d[:-1]]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]] - lo
     start[begins] = True
     return np.flatnonzero(start) + lo

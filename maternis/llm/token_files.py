@@ -1,7 +1,7 @@
 """Operator 1: token-id files with Re-Pair grammar compression.
 
 Documents are range-partitioned and sorted by id, encoded with the tokenizers
-library, ended by ``END_ID`` and cut into shards of about ``SHARD_IDS`` ids. In
+library (``pieces``: each distinct piece of text once), ended by ``END_ID`` and cut into shards of about ``SHARD_IDS`` ids. In
 each shard frequent id pairs are repeatedly replaced by nonterminals: a round
 counts all pairs, takes every pair at least as frequent as the round's threshold,
 and replaces its occurrences from left to right without overlap. The threshold
@@ -23,11 +23,8 @@ gives an empty file. Only key and text are read; other columns may have any name
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,97 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .pieces import U4, byte_coder, text_slices
 
 END_ID = 0
 SHARD_IDS = 1 << 19
 MIN_PAIRS = 4
 #: Counters of a round; of pairs that share one, one is counted, the others in a later round.
 BINS = 1 << 18
-CACHE_ENTRIES = 800_000
-#: Pieces that the library encodes as one text.
-JOINED = 500
-U4 = np.dtype("<u4")
-# White space other than single blanks and line feeds between words.
-ODD_SPACE = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 FILE_SCHEMA = ("part int, shard int, base int, n_ids bigint, doc_ids array<bigint>, doc_lens array<int>, "
                "rules binary, lens binary, symbols binary")
 
 
-# ---------------------------------------------------------------------------
-# encoding
-# ---------------------------------------------------------------------------
-class ByteEncoder:
-    """The library's ids of whole texts, as little-endian unsigned 32-bit bytes.
-
-    Where all white space of a text is single blanks and line feeds, each of
-    them starts a new pre-token, and the ids of the text are those of its
-    pieces (a word with the blank or line feed before it) one after another;
-    the library then encodes each distinct piece once. Other texts are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # a vocabulary string has one character for each byte that it stands for
-        self.size = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
-        for string, i in self.tokenizer.get_vocab().items():
-            self.size[i] = len(string)
-        self.pieces: dict[str, bytes] = {}
-        self.feed = len(self.ids("\n")) // 4
-
-    def ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    @staticmethod
-    def split(text: str) -> list[str] | None:
-        """Pieces of a text, or None if it must be encoded whole."""
-        if (not text or text[0].isspace() or text[-1].isspace() or any(w in text for w in ODD_SPACE)):
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
-
-    def piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece: the library encodes JOINED pieces as one text, and the bytes
-        that each id stands for tell where a piece ends."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), JOINED):
-            group = [p if p[0] == "\n" else " " + p for p in pieces[at:at + JOINED]]
-            raw = self.ids("".join(group))
-            ends = np.cumsum(self.size[np.frombuffer(raw, U4)])
-            cuts = 4 * (np.searchsorted(ends, np.cumsum([len(p.encode("utf-8")) for p in group])) + 1)
-            out += [raw[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist())]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        found = [list(map(self.pieces.get, parts or ())) for parts in split]
-        gaps = []  # (text, place) of pieces that are not known yet
-        for k, got in enumerate(found):
-            at = -1
-            try:
-                while True:
-                    at = got.index(None, at + 1)
-                    gaps.append((k, at))
-            except ValueError:
-                pass
-        if gaps:
-            new = list({split[k][at] for k, at in gaps})
-            if len(self.pieces) + len(new) > CACHE_ENTRIES:
-                self.pieces.clear()
-            fresh = dict(zip(new, self.piece_ids(new)))
-            self.pieces.update(fresh)
-            for k, at in gaps:
-                found[k][at] = fresh[split[k][at]]
-        return [self.ids(t) if parts is None else b"".join(got)[4 * self.feed:]
-                for t, parts, got in zip(texts, split, found)]
-
-
-@lru_cache(maxsize=2)
-def byte_encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
-
-
 # ---------------------------------------------------------------------------
 # grammar
 # ---------------------------------------------------------------------------
@@ -211,18 +128,18 @@ class Grammar:
 # ---------------------------------------------------------------------------
 def _shards(path: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = byte_encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], U4).tobytes()
+        coder, part, shard = byte_coder(path), TaskContext.get().partitionId(), 0
+        base, end = coder.encode_pieces.base, np.array([END_ID], U4)
         keys: list[int | None] = []
         sizes: list[int] = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, total
-            ids = np.frombuffer(b"".join(coded), U4)
-            rules, lens, symbols = repair(ids, encoder.base)
-            row = [part, shard, encoder.base, len(ids), keys, sizes, rules.tobytes(), lens.tobytes(),
+            ids = np.concatenate(coded)
+            rules, lens, symbols = repair(ids, base)
+            row = [part, shard, base, len(ids), keys, sizes, rules.tobytes(), lens.tobytes(),
                    symbols.tobytes()]
             types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
                      pa.binary(), pa.binary(), pa.binary()]
@@ -234,12 +151,12 @@ def _shards(path: str, shard_ids: int):
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for key, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
+            for piece in text_slices(batch, 1):
+                ids, ends = coder.encode(piece.column(1))
+                for key, a, b in zip(piece.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist()):
                     keys.append(key)
-                    coded.append(ids + end)
-                    sizes.append(len(ids) // 4 + 1)
+                    coded += (ids[a:b], end)
+                    sizes.append(b - a + 1)
                     total += sizes[-1]
                     if total >= shard_ids:
                         yield flush()
