@@ -7,8 +7,11 @@ skipped when they are popped. Decoding concatenates vocabulary strings.
 The word vocabulary normalises (NFC, white space to one blank, lower case per
 character), drops white space between pre-tokens and ends each word in
 ``</w>``. White space separates pre-tokens, so a text is the concatenation of
-its white-space-free chunks, and each task encodes a distinct chunk once (the
-cache is bounded, and is emptied when full).
+its chunks without ASCII white space, and each task encodes a distinct chunk once
+(the cache is bounded, and is emptied when full). Chunks of Latin-1 are normalised
+and cut here; others by the library's normaliser and pre-tokenizer, so that every
+character has the class that its Unicode version gives it. The merges are applied
+here to all.
 
 Defined results: a null or empty text has no ids, and decodes to ''. Rows are
 mapped one by one: repeated rows give repeated results, an empty table an
@@ -21,20 +24,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
+import re
 from functools import lru_cache
 
-import regex
 from pyspark.sql import DataFrame
 
 from .common import map_rows, text_or_empty
+from .pieces import load_tokenizer
 
 #: Entries of a worker's cache of encoded chunks.
 CACHE_ENTRIES = 200_000
-#: The word vocabulary's pre-token pattern.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-# Separators of str.split() that the vocabulary does not take as white space.
-NOT_BLANK = frozenset("\x1c\x1d\x1e\x1f")
+#: Letters and digits of Latin-1, whose classes no Unicode version changes.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The word vocabulary's pre-token pattern, for chunks of Latin-1 without white space.
+WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+"
+#: What is left to the library's own normaliser and pre-tokenizer: characters beyond Latin-1, and separators
+#: that are white space to one side only.
+UNSURE = re.compile("[^\\x00-\\x1b\\x21-\\x84\\x86-\\x9f\\xa1-\\xff]")
 
 
 def byte_symbols() -> list[str]:
@@ -62,10 +69,13 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [ids[s] for s in symbols]
         self.last = [ids[s + self.end] for s in symbols]
-        self.pattern = regex.compile(WORD_PATTERN)
-        self.marks = regex.compile("|".join(map(regex.escape, self.special)))
+        self.pattern = re.compile(WORD_PATTERN)
+        self.marks = re.compile("|".join(map(re.escape, self.special)))
+        library = load_tokenizer(path)  # for the Unicode classes only; the merges are applied here
+        self.normalise, self.pre_tokens = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.by_symbol = {s: (ids[s], ids[s + self.end]) for s in symbols}
         self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[str, str]] = {}
+        self.chunks: dict[bytes, tuple[str, str]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges to a symbol list, lowest rank first, leftmost first."""
@@ -101,23 +111,27 @@ class WordBpe:
                 self.words[word] = ids
         return ids
 
-    def normalise(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        # str.lower() looks at the neighbours of a capital sigma; the vocabulary does not
-        return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of a text without ASCII white space and special strings."""
+        if not UNSURE.search(chunk):
+            return [i for w in self.pattern.findall(chunk.lower()) for i in self.word(w)]
+        out = []
+        for symbols, _ in self.pre_tokens(self.normalise(chunk)):
+            pairs = [self.by_symbol[s] for s in symbols]
+            out += self.merge([p[0] for p in pairs[:-1]] + [pairs[-1][1]])
+        return out
 
     def plain(self, text: str) -> list[int]:
-        """Ids of a normalised text without special strings."""
-        return [i for w in self.pattern.findall(text) for i in self.word(w)]
+        return [i for c in text.encode("utf-8").split() for i in self.chunk(c.decode("utf-8"))]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; special strings in it become their ids."""
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += self.plain(self.normalise(text[at:m.start()]))
+            out += self.plain(text[at:m.start()])
             out.append(self.special[m.group()])
             at = m.end()
-        return out + self.plain(self.normalise(text[at:]))
+        return out + self.plain(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, one blank between them (the file names no decoder)."""
@@ -125,17 +139,21 @@ class WordBpe:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, sha-256 of the ids, sha-256 of the decoded text)."""
-        if self.marks.search(text) or not NOT_BLANK.isdisjoint(text):
+        if self.marks.search(text):
             ids = self.encode(text)
             coded, decoded = " ".join(map(str, ids)), self.decode(ids)
         else:
-            cache, parts = self.chunks, self.normalise(text).split()
+            # lower case before the look-up where it is safe: all of ASCII
+            cache, raw = self.chunks, text.encode("utf-8")
+            parts = (raw.lower() if text.isascii() else raw).split()
             for p in parts:
                 if p not in cache:
-                    ids = self.plain(p)
+                    ids = self.chunk(p.decode("utf-8"))
                     cache[p] = " ".join(map(str, ids)), self.decode(ids)
-            coded = " ".join([cache[p][0] for p in parts])
-            decoded = " ".join([cache[p][1] for p in parts])
+            # a chunk of characters that the normaliser drops has no ids
+            found = [cache[p] for p in parts]
+            coded = " ".join([c for c, _ in found if c])
+            decoded = " ".join([d for c, d in found if c])
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()

@@ -9,7 +9,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 TOK = Tokenizer.from_file(PATH)
 OURS = bpe.word_bpe(PATH)
 EDGE = ["", "Hello  it's wörld 123 ΑΣ Σ İx <|endoftext|> a'sb\x1cq !'s é́", "a" * 5000, "\n\t  ",
-        "<|startoftext|><|endoftext|>", "'S'T'RE don't 'll!!'d", "日本語 ½ ⅷ 𝟘"]
+        "<|startoftext|><|endoftext|>", "'S'T'RE don't 'll!!'d", "日本語 ½ ⅷ 𝟘", "J\u030c I\u0307 A\u030a <|ENDOFTEXT|>", "x\x85y\xa0z\u2003w\x1fv"]
 
 
 def expected(text):
@@ -31,6 +31,18 @@ def test_edge_texts():
         check(t)
 
 
+def test_every_code_point():
+    """Alone, in a word, before a capital and after a combining mark, as the library's Unicode version has it."""
+    for c in range(0x110000):
+        if 0xD800 <= c < 0xE000 or c > 0x3400 and c % 11 and not 0xA000 <= c < 0x12000:
+            continue
+        text = f"a{chr(c)}B {chr(c)} x\u0301{chr(c)}"
+        ids = TOK.encode(text, add_special_tokens=False).ids
+        assert OURS.encode(text) == ids, hex(c)
+    for c in (0x558, 0x58B, 0xC5C, 0x1C89, 0x208F, 0xA7CB, 0x10940):
+        check(f"a{chr(c)}B")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abcdeTHs'tre !#.1²éÉß́\n\t\x1cΣı<|>"), max_size=60))
 def test_random_texts(text):
