@@ -23,8 +23,7 @@ is missed with at most 1e-3, whatever its length: 3e-4 at U = 5, under 2e-5 from
 6 to 40, under 1e-4 to 160, 9.2e-4 just above, 6e-4 for long texts; at 0.85 it
 is 6e-6 for long texts at most.
 
-Copies (equal word sequences) are one class and are compared once, by the copy
-with the smallest id. Within a sketch's bucket every member is first compared
+Copies (equal word sequences) are one class and are compared once, as one node. Within a sketch's bucket every member is first compared
 with one member, another one in each of ``TURNS`` turns; components are formed
 after a turn. Buckets that still hold several components are then compared
 whole, block against block, for pairs of different components with similar
@@ -35,8 +34,11 @@ only similar pairs are emitted.
 Defined results: one row per input row with ``class_id`` (smallest id of the
 component) and ``kept`` (id = class). Null and empty texts and texts of white
 space link with nothing, also not with one another. Rows with a null id link
-with nothing, have a null class and are kept. Rows of one id are one node. Only
-id and text are read; other columns may have any name.
+with nothing, have a null class and are kept. A node is a sequence of words, not an
+id: rows of one id with different texts are judged each by its text, and the kept
+row of a class is the least by id and digest of the text (rows equal in both have
+equal results; ``one_of_each`` keeps one of them). Only id and text are read; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -197,16 +199,25 @@ def aligned(a: np.ndarray, b: np.ndarray) -> bool:
 # Spark
 # ---------------------------------------------------------------------------
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, d1, d2`` (digest of the words), ``n`` (shingles) and ``keys`` of every row with words and an id."""
+    """``id, raw`` (digest of the text), ``d1, d2`` (digest of the words), ``n`` (shingles) and ``keys`` of every row;
+    rows without words or id have no keys and null digests of words."""
     def rows(columns: list[list]) -> Iterator[tuple]:
-        for k, t in zip(*columns):
-            seq = shingles(word_hashes(t))
+        for k, raw, t in zip(*columns):
+            seq = shingles(word_hashes(t)) if k is not None else ()
             if len(seq):
                 d = xxhash.xxh128_intdigest(" ".join(t.split()))
                 signed = [int(x) - (1 << 64) if x >> 63 else int(x) for x in (d >> 64, d & (1 << 64) - 1)]
-                yield (k, *signed, len(seq), sketch_keys(seq))
-    return map_rows(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), text_or_empty(text)), rows,
-                    "id bigint, d1 bigint, d2 bigint, n int, keys array<bigint>")
+                yield (k, raw, *signed, len(seq), sketch_keys(seq))
+            else:
+                yield k, raw, None, None, 0, []
+    t = text_or_empty(text)
+    return map_rows(docs.select(F.col(key).cast("bigint"), raw_digest(text), t), rows,
+                    "id bigint, raw binary, d1 bigint, d2 bigint, n int, keys array<bigint>")
+
+
+def raw_digest(text: str) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.unhex(F.md5(text_or_empty(text).cast("binary")))
 
 
 def near_in_length(n: str, m: str) -> Column:
@@ -228,14 +239,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a bigint, b bigint", 64)
 
 
-def word_sequences(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, words`` (32-bit hashes) of the texts that the representatives ``ids`` (id, d1, d2) stand for."""
+def word_sequences(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, words`` (32-bit hashes) of the nodes ``wanted`` (id, doc, raw: the row that the node stands for)."""
     def rows(columns: list[list]) -> Iterator[tuple]:
         for k, t in zip(*columns):
             yield k, word_hashes(t).tobytes()
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), text_or_empty(text).alias("t"))
-    return map_rows(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), rows,
-                    "id bigint, words binary")
+    texts = docs.select(F.col(key).cast("bigint").alias("doc"), raw_digest(text).alias("raw"), text_or_empty(text).alias("t"))
+    one = texts.join(wanted, ["doc", "raw"]).groupBy("doc", "raw", "id").agg(F.min("t").alias("t"))
+    return map_rows(one.select("id", "t"), rows, "id bigint, words binary")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -287,15 +298,19 @@ def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed, "k")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, class_id, kept`` of every row."""
+def judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, raw, class_id, kept`` of every row: its class, and whether it is the class's first row by id and text."""
     sk = written(sketches(docs, key, text), "sketches")
-    one = F.min(F.struct("id", "n", "keys")).alias("r")
-    reps = written(sk.groupBy("d1", "d2").agg(one).select("r.*"), "representatives")
-    keyed = reps.select("id", "n", F.explode("keys").alias("k"))
+    some = sk.where(F.col("d1").isNotNull())
+    # a node is a sequence of words, whatever ids its rows have; its number is fixed by the written table
+    one = F.min(F.struct("id", "raw", "n", "keys")).alias("r")
+    nodes = written(some.groupBy("d1", "d2").agg(one).select(
+        F.monotonically_increasing_id().alias("id"), "d1", "d2", F.col("r.id").alias("doc"), "r.raw", "r.n", "r.keys"), "nodes")
+    keyed = nodes.select("id", "n", F.explode("keys").alias("k"))
     shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k")
     rest = written(keyed.join(shared, "k").withColumn("c", F.col("id")), "members")
-    words = written(word_sequences(docs, rest.select("id").distinct(), key, text), "words")
+    wanted = nodes.select("id", "doc", "raw").join(rest.select("id").distinct(), "id", "left_semi")
+    words = written(word_sequences(docs, wanted, key, text), "words")
     links = None
     for turn in range(TURNS):
         # every member against one of its bucket, another one each turn, if their components differ
@@ -311,18 +326,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     more = written(ordered(pairs_in_blocks(rest, words)), "pairs")
     links = links.unionAll(written(verified(more, words), "links"))
 
-    # copies are linked to their representative
-    copies = sk.groupBy("d1", "d2").agg(F.min("id").alias("a"))
-    links = links.unionAll(sk.join(copies, ["d1", "d2"]).where("id != a").select("a", F.col("id").alias("b")))
-    classes = components(links, "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    rows = docs.select(key)
-    return rows.join(classes, rows[key] == classes["_node"], "left").select(
-        key, F.coalesce("_component", F.col(key).cast("bigint")).alias("class_id"),
-        F.coalesce(F.coalesce("_component", key) == F.col(key), F.lit(True)).alias("kept"))
+    # a class is named by the least id of its rows; a node's row is its least one
+    found = components(links, "a", "b").select(F.col("node").alias("_node"), "component")
+    placed = nodes.select("id", "d1", "d2", "doc", "raw").join(found, F.col("id") == F.col("_node"), "left").select(
+        "d1", "d2", "doc", "raw", F.coalesce("component", "id").alias("c"))
+    first = placed.groupBy("c").agg(F.min(F.struct("doc", "raw")).alias("first"))
+    classes = placed.join(first, "c").select("d1", "d2", "first")
+    rows = some.select("id", "raw", "d1", "d2").join(classes, ["d1", "d2"]).select(
+        "id", "raw", F.col("first.doc").alias("class_id"), (F.struct(F.col("id").alias("doc"), "raw") == F.col("first")).alias("kept"))
+    return rows.unionByName(sk.where(F.col("d1").isNull()).select("id", "raw", F.col("id").alias("class_id"), F.lit(True).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, class_id, kept`` of every row."""
+    return judged(docs, key, text).select(F.col("id").cast(docs.schema[key].dataType).alias(key), "class_id", "kept")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each class, and rows without id."""
-    kept = near_duplicates(docs, key, text).where("kept").select(F.col(key).alias("_kept")).distinct()
-    chosen = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
-    return chosen.unionByName(docs.where(F.col(key).isNull()))
+    kept = judged(docs, key, text).where(F.col("kept") & F.col("id").isNotNull()).select(
+        F.col("id").alias("_kept"), F.col("raw").alias("_raw")).distinct()
+    rows = docs.where(F.col(key).isNotNull()).withColumn("_own", raw_digest(text))
+    chosen = rows.join(kept, (rows[key].cast("bigint") == kept["_kept"]) & (rows["_own"] == kept["_raw"]), "left_semi")
+    return chosen.dropDuplicates([key, "_own"]).drop("_own").unionByName(docs.where(F.col(key).isNull()))

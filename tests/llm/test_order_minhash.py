@@ -127,6 +127,22 @@ def test_repeats_clashes_empty_table_and_kept_rows(spark):
     assert O.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "uno dos tres cuatro cinco seis",
+             "one  two three four five six seven", "x", "x y"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[3]), (1, texts[4]), (1, texts[5]), (1, texts[4]), (3, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = sorted((r.doc_id, r.text) for r in O.one_of_each(df).collect())
+    # the two spellings of the second text are one class, as are both rows of the third
+    assert left == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (1, texts[4]), (1, texts[5])])
+    got = sorted(tuple(r) for r in O.near_duplicates(df).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 2, True), (2, 1, False), (1, 1, True), (1, 1, True), (1, 1, True), (3, 2, False)])
+    # many texts under one id, a copy of each under another
+    many = [(k % 2, " ".join(f"w{i}_{j}" for j in range(8))) for i in range(60) for k in (0, 1)]
+    df = spark.createDataFrame(many, "doc_id bigint, text string")
+    assert sorted(r.text for r in O.one_of_each(df).collect()) == sorted({t for _, t in many})
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)]
