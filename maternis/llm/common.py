@@ -31,6 +31,23 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """One row (the least) of each of at most ``limit`` ids, those of the lowest hashes; null ids are left out.
+
+    Rows above a hash that about ``limit`` ids lie below are dropped where they are read, and the rest is
+    grouped by id, so what is sorted and sent to the driver doesn't grow with the input, however often an id repeats.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    ids = rows.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    h = F.xxhash64(F.col(key).cast("string"))
+    share = 1.2 * limit / max(ids, 1) + 1e-9
+    if share < 1:
+        rows = rows.where(h < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    rest = [c for c in rows.columns if c != key]
+    once = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+    return once.orderBy(h, key).limit(limit)
+
+
 def map_rows(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple]], schema: str,
              slice_rows: int = 256) -> DataFrame:
     """Apply ``rows`` (columns as lists -> result tuples) to slices of at most

@@ -12,7 +12,9 @@ and whole texts and see nothing but the text.
 Defined results: a null text is an empty text (no indicators: the bias decides);
 repeated rows are scored one by one; null ids and null labels are not learned
 from; an id with several labels takes the lowest; without labelled rows of both
-classes every score is the share of label 1 (0.5 without any).
+classes every score is the share of label 1 (0.5 without any); texts of any
+length are scored whole; an empty table gives an empty result. Only key and text
+(and the label's key and label) are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_or_empty
+from .common import bounded_sample, map_rows, text_or_empty
 
 BUCKETS = 1 << 17
 MAX_LABELLED = 3_000
@@ -177,9 +179,8 @@ def held_out(key: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
                     max_labelled: int) -> DataFrame:
     """``_label, _text``: one text for each of at most ``max_labelled`` ids of the learning folds."""
-    ids = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-           .groupBy(F.col(key).alias("_id")).agg(F.min(label).alias("_label"))
-           .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_labelled))
+    known = labels.where(F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).alias("_id"), F.col(label).alias("_label"))
+    ids = bounded_sample(known, "_id", max_labelled)
     texts = docs.select(F.col(key).alias("_id"), text_or_empty(text).alias("_text"))
     # at most max_labelled rows of two numbers: safe to broadcast
     return texts.join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))

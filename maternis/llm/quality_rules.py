@@ -2,8 +2,8 @@
 
 One pass over the texts counts interpretable statistics; sequential covering
 then learns from labelled statistics. Each rule is grown condition by condition
-(the threshold with the best information gain, on two thirds of the labelled
-rows), pruned on the other third, and accepted while it is precise there; the
+(of all midpoints the threshold with the best information gain, on two thirds of
+the labelled rows; a rule ends when nothing gains), pruned on the other third, and accepted while it is precise there; the
 rows that it covers are set aside and the next rule is learned. The list is
 emitted as an ordered Spark conditional expression that first applies the base
 rules. The fit uses at most ``MAX_LABELLED`` labelled rows (the lowest hashes of
@@ -12,7 +12,9 @@ the id); the statistics and the verdicts cover every row and whole texts.
 Defined results: a null text is an empty text (no words: fails the base rules);
 ratios over zero are 0; repeated rows are judged one by one; an id with several
 labels takes the lowest; null labels are ignored; without labelled rows of both
-classes the list is empty and only the base rules decide.
+classes the list is empty and only the base rules decide; an empty table gives an
+empty result. Only key and text (and the label's key and label) are read; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_or_empty
+from .common import bounded_sample, map_rows, text_or_empty
 
-#: Most labelled rows that the fit uses, and thresholds tried for a statistic.
+#: Most labelled rows that the fit uses.
 MAX_LABELLED = 20_000
-MAX_THRESHOLDS = 64
-MAX_CONDITIONS = 4
 #: A rule must be this precise on the pruning rows, and cover this many of them.
 MIN_PRECISION = 0.95
 MIN_COVERED = 3
@@ -120,20 +120,11 @@ def covers(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
     return np.logical_and.reduce([c.holds(x) for c in rule])
 
 
-def thresholds(values: np.ndarray) -> np.ndarray:
-    """Midpoints between neighbouring quantiles of the distinct values."""
-    v = np.unique(values)
-    if len(v) < 2:
-        return v[:0]
-    mid = (v[1:] + v[:-1]) / 2
-    return mid if len(mid) <= MAX_THRESHOLDS else np.unique(mid[np.linspace(0, len(mid) - 1, MAX_THRESHOLDS).astype(int)])
-
-
 def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """Conditions added while they gain information about the bad rows."""
+    """Conditions added while they gain information about the bad rows; every midpoint between two values is tried."""
     rule: list[Condition] = []
     inside = np.ones(len(bad), bool)
-    while len(rule) < MAX_CONDITIONS:
+    while True:
         p, n = int(bad[inside].sum()), int((~bad[inside]).sum())
         if p == 0 or n == 0:
             break
@@ -142,8 +133,8 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
             v, b = values[inside], bad[inside]
             order = np.argsort(v, kind="stable")
             v, cum = v[order], np.r_[0, np.cumsum(b[order])]
-            cuts = np.unique(np.r_[thresholds(v), thresholds(v[b[order]])])
-            at = np.searchsorted(v, cuts, "left")
+            at = np.flatnonzero(v[1:] != v[:-1]) + 1  # rows below a midpoint
+            cuts = (v[at] + v[at - 1]) / 2
             for above, pos, all_ in ((True, p - cum[at], len(v) - at), (False, cum[at], at)):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     g = np.where(pos > 0, pos * (np.log2(pos / all_) - np.log2(p / (p + n))), 0.0)
@@ -151,8 +142,11 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
                     best, gain = Condition(name, above, float(cuts[g.argmax()])), float(g.max())
         if best is None:
             break
+        held = inside & best.holds(x)
+        if held.sum() == inside.sum():  # a midpoint that rounds to a value
+            break
         rule.append(best)
-        inside &= best.holds(x)
+        inside = held
     return tuple(rule)
 
 
@@ -189,8 +183,8 @@ def fit_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     once = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         F.min(label).alias("_label"))
     rows = stats.select(key, *[ratio(r).alias(r) for r in RATIOS]).join(once, key)
-    rows = rows.withColumn("_order", F.xxhash64(F.col(key).cast("string")))
-    sample = rows.orderBy("_order", key, *RATIOS).limit(max_labelled).drop(key).toPandas()
+    sample = bounded_sample(rows, key, max_labelled).withColumn(
+        "_order", F.xxhash64(F.col(key).cast("string"))).drop(key).toPandas()
     bad = (sample["_label"] == 0).to_numpy()
     if not len(bad) or bad.all() or not bad.any():
         return []
