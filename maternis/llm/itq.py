@@ -3,9 +3,11 @@
 An orthogonal rotation of the principal axes is learned so that the signs of
 the rotated coordinates make balanced binary codes with little quantisation
 error (fitted on at most ``SAMPLE`` vectors, the lowest hashes of the id; every
-vector is coded). The code is cut into ``TABLES`` substrings; vectors of one
-label that agree in a whole substring meet in that table's bucket and are
-reranked with the original vectors: cosine in double precision >= ``COSINE``.
+vector is coded). Each length of vector has its own rotation; a length too rare
+in the sample is coded by seeded directions. The code is cut into ``TABLES``
+substrings; vectors of one label and length that agree in a whole substring meet
+in that table's bucket. Those whose whole codes are within ``RADIUS`` are reranked
+with the original vectors: cosine in double precision >= ``COSINE``.
 
 A pair at cosine 0.98 differs in a bit with probability 0.064, agrees in an
 8-bit substring with 0.59, and meets in none of 8 tables with 8e-4; nearer pairs
@@ -14,22 +16,23 @@ compared block against block, and a group of blocks gives one row a vector (its
 links and its component there), never the pairs, so a group of thousands of
 near copies stays in bounds.
 
-Defined results: vectors that are null, zero, hold null or non-finite numbers,
-or have another length than most of the sample, and rows with a null label or
-id, link with nothing; such a row is its own component. Repeated rows (same id,
+Defined results: vectors that are null, zero, or hold null or non-finite numbers,
+and rows with a null label or id, link with nothing; such a row is its own
+component. Vectors of different lengths do not link. Repeated rows (same id,
 label and vector) count once and have equal results; rows of one id are one node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import bounded_sample, map_rows, written
 from .components import components
 
 COSINE = 0.98
@@ -38,6 +41,11 @@ SAMPLE = 10_000
 TURNS = 50
 #: Members of a block of a bucket.
 BLOCK = 512
+#: Greatest Hamming distance of codes that is reranked: at cosine 0.98 a bit differs with probability 0.064, and
+#: more than 20 of 64 do with less than 1e-9.
+RADIUS = 20
+#: Rows of a block, and pairs, that are compared at a time.
+RERANK, STEP = 64, 4096
 
 
 def usable(vector: list | None) -> np.ndarray | None:
@@ -66,28 +74,44 @@ def learn_rotation(x: np.ndarray, turns: int = TURNS) -> tuple[np.ndarray, np.nd
     return mean, main @ r
 
 
-def fit_rotation(vectors: DataFrame, key: str, vector: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).orderBy(
-        F.xxhash64(key), key).limit(sample).toPandas()
-    units = [u for u in map(usable, rows[vector]) if u is not None]
-    if not units:
-        return None
-    lengths = pd.Series([len(u) for u in units])
-    most = int(lengths.mode().iloc[0])
-    return learn_rotation(np.stack([u for u in units if len(u) == most]))
+Rotations = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def fit_rotations(vectors: DataFrame, key: str, vector: str, sample: int = SAMPLE) -> Rotations:
+    """A learned rotation for each length that the sample holds at least twice as many vectors of as bits."""
+    rows = bounded_sample(vectors.where(F.col(vector).isNotNull()).select(key, vector), key, sample).toPandas()
+    by_length: dict[int, list[np.ndarray]] = {}
+    for u in map(usable, rows[vector]):
+        if u is not None:
+            by_length.setdefault(len(u), []).append(u)
+    out = {}
+    for n, us in by_length.items():
+        if len(us) >= 2 * min(64, n):
+            mean, learned = learn_rotation(np.stack(us))
+            out[n] = mean, np.hstack([learned, start_rotation(n)[1][:, learned.shape[1]:]])
+    return out
+
+
+@lru_cache(maxsize=64)
+def start_rotation(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeded directions: the code of vectors of a length that is too rare to learn a rotation, and the bits that
+    shorter vectors than 64 numbers lack."""
+    q = np.random.default_rng(n).normal(size=(n, 64))
+    return np.zeros(n), q / np.linalg.norm(q, axis=0)
+
 
+def coded(vectors: DataFrame, rotations: Rotations, key: str, vector: str, label: str) -> DataFrame:
+    """``id, label, code, unit`` of the usable vectors: eight substrings, and the unit vector's doubles.
 
-def coded(vectors: DataFrame, rotation: tuple[np.ndarray, np.ndarray], key: str, vector: str, label: str) -> DataFrame:
-    """``id, label, code, unit`` of the usable vectors: eight substrings, and the unit vector's doubles."""
-    mean, projection = rotation
+    The label is one of label and length, as vectors of different lengths have no cosine."""
+    shared = vectors.sparkSession.sparkContext.broadcast(rotations)  # 64 directions a length that the sample holds
 
     def rows(columns: list[list]) -> Iterator[tuple]:
         for k, y, v in zip(*columns):
             u = usable(v)
-            if u is not None and len(u) == len(mean):
-                bits = np.zeros(64, bool)
-                bits[:projection.shape[1]] = (u - mean) @ projection >= 0
-                yield k, y, np.packbits(bits).tobytes(), u.tobytes()
+            if u is not None:
+                mean, projection = shared.value.get(len(u)) or start_rotation(len(u))
+                yield k, f"{len(u)}:{y}", np.packbits((u - mean) @ projection >= 0).tobytes(), u.tobytes()
     known = vectors.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull())
     return map_rows(known.select(F.col(key).cast("bigint"), F.col(label).cast("string"), F.col(vector)), rows,
                     "id bigint, label string, code binary, unit binary")
@@ -114,10 +138,18 @@ def linked_in_blocks(group: pd.DataFrame) -> pd.DataFrame:
     code = np.stack([np.frombuffer(c, np.uint8) for c in group["code"]])
     lo, hi, table = group["lo"].iloc[0], group["hi"].iloc[0], group["table"].iloc[0]
     first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    a, b = np.nonzero(unit[first] @ unit[second].T >= COSINE)
-    a, b = first[a], second[b]
-    own = (ids[a] != ids[b]) & ((a < b) | (lo != hi))
-    a, b = a[own], b[own]
+    word = code.view(np.uint64)[:, 0]
+    found = []
+    for at in range(0, len(first), RERANK):  # the candidates within the radius, then their original vectors
+        rows = first[at:at + RERANK]
+        a, b = np.nonzero(np.bitwise_count(word[rows][:, None] ^ word[second]) <= RADIUS)
+        a, b = rows[a], second[b]
+        own = (ids[a] != ids[b]) & ((a < b) | (lo != hi))
+        a, b = a[own], b[own]
+        near = np.concatenate([np.einsum("ij,ij->i", unit[a[k:k + STEP]], unit[b[k:k + STEP]]) >= COSINE
+                               for k in range(0, len(a), STEP)] or [np.empty(0, bool)])
+        found.append((a[near], b[near]))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
     new = (code[a] == code[b]).argmax(1) == table
     links = np.bincount(a[new], minlength=len(ids)) + np.bincount(b[new], minlength=len(ids))
     root = local_components(a, b, len(ids))
@@ -128,12 +160,8 @@ def linked_in_blocks(group: pd.DataFrame) -> pd.DataFrame:
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``key, n_links, component_id, kept`` of every row."""
-    rotation = fit_rotation(vectors, key, vector)
     rows = vectors.select(F.col(key))
-    if rotation is None:
-        return rows.select(key, F.lit(0).cast("bigint").alias("n_links"), F.col(key).cast("bigint").alias("component_id"),
-                           F.lit(True).alias("kept"))
-    codes = written(coded(vectors, rotation, key, vector, label).distinct(), "codes")
+    codes = written(coded(vectors, fit_rotations(vectors, key, vector), key, vector, label).distinct(), "codes")
     bucket = ["label", "table", "part"]
     met = codes.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))).withColumn(
         "part", F.substring(F.col("code"), F.col("table") + 1, F.lit(1)))

@@ -57,6 +57,27 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_every_length_is_coded_and_found(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, groups in ((64, 60), (24, 40), (130, 3), (1, 2), (7, 5)):
+        for g in range(groups):
+            base = rng.normal(size=n)
+            rows += [(len(rows), 0, [float(x) for x in base * s]) for s in (1.0, 2.5)] if n > 1 else [(len(rows), 0, [float(g + 1)])]
+    rows = [(k, y, v) for k, (_, y, v) in enumerate(rows)]
+    got = {r.vec_id: r for r in I.near_vectors(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")).collect()}
+    links = set()
+    for a, _, u in rows:
+        for b, _, v in rows:
+            if a < b and len(u) == len(v) and np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v) >= I.COSINE:
+                links.add((a, b))
+    degree = np.zeros(len(rows), int)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    assert [got[k].n_links for k in range(len(rows))] == degree.tolist() and len(links) > 100
+
+
 def test_rotation_is_orthogonal_and_lowers_the_error():
     x = np.random.default_rng(0).normal(size=(500, 16)) * np.linspace(3, 0.2, 16)
     mean, p = I.learn_rotation(x)
@@ -84,10 +105,11 @@ def test_unusable_vectors_repeats_clashes_and_empty_table(spark):
     rows = [(1, 0, v, 1), (2, 0, [2.0, 0.0, 1.0], 2), (2, 0, [2.0, 0.0, 1.0], 2), (3, 1, v, 3), (4, None, v, 4), (5, 0, None, 5),
             (6, 0, [0.0, 0.0, 0.0], 6), (7, 0, [1.0, None, 0.5], 7), (8, 0, [float("nan"), 0.0, 0.5], 8),
             (9, 0, [float("inf"), 0.0, 0.5], 9), (10, 0, [], 10), (11, 0, [1.0, 0.0], 11), (None, 0, v, 12),
-            (12, 0, [1e-30, 0.0, 5e-31], 13)]
+            (12, 0, [1e-30, 0.0, 5e-31], 13), (13, 0, [3.0, 0.0], 14), (14, 1, [1.0, 0.0], 15)]
     df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>, code int")
     out = I.near_vectors(df).collect()
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in out)
-    alone = [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10, 11)]
+    # rows 11 and 13 are of another length than most, and equal in direction and label
+    alone = [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10, 14)] + [(11, 1, 11, True), (13, 1, 11, False)]
     assert got == sorted([(0, 0, None, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (12, 2, 1, False)] + alone)
     assert I.near_vectors(df.limit(0)).collect() == []
