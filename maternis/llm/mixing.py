@@ -18,10 +18,14 @@ source and pass, then documents within a cell), so that a source with a third of
 all rows is spread over many tasks. Sources are a table, never a list on the
 driver; the driver sees one row of totals per step of the bisection.
 
+A budget that no exponent keeps within the repetition limit is an error.
+
 Defined results: a null source is a source of its own; null and empty texts
-have no tokens, are taken in every pass and take no budget; sources without tokens get weight 0
-and one pass; rows with equal ids or texts are taken like any others; an empty
-table gives an empty result.
+have no tokens, are taken in the first pass, in later ones where the budget
+lasts, and take none of it; sources without tokens get weight 0 and one pass;
+rows with equal ids or texts are taken like any others; an empty table gives an
+empty result. Only key, source, text and the payload are read; other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -98,6 +102,8 @@ def find_exponent(totals: DataFrame, target: Target) -> tuple[float, float]:
             mid = (low + high) / 2
             low, high = (mid, high) if repeats(mid) else (low, mid)
         low = high
+    if target.budget is not None and repeats(low):
+        raise ValueError(f"a budget of {target.budget:g} tokens repeats some source more than {target.repetition:g} times at any exponent")
     return low, at_exponent(totals, low, target)[2]
 
 
