@@ -22,6 +22,8 @@ table gives an empty result. Only key and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,24 +47,51 @@ ENDPOINT = r"https?://[A-Za-z0-9][^\s\"'<>]{2,}+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}
 HINT = r"[A-Z0-9]{16}|[A-Za-z0-9+/]{32}|[0-9a-f]{16}|https?://|[0-9]:[0-9]{2}|[:=]"
 
 
+#: Matches or spans of a text that are folded at a time: arrays grow by copying, so a fold over all of them would take
+#: time by the square of their number.
+FOLD = 256
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def blocks_of(items: Column) -> Column:
+    """array<array>: the items in blocks of ``FOLD``."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / FOLD), F.lit(0)).cast("int")),
+                       lambda j: F.slice(items, j * FOLD + 1, FOLD))
+
+
+def running(values: Column, first: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """array: ``first``, then what the values up to each place add up to."""
+    return F.aggregate(values, F.array(first), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+
 def match_spans(text: Column, pattern: str, least: int = 0) -> Column:
     """array<struct<start, end>> of the pattern's matches, leftmost and non-overlapping, in code points.
 
     ``least``: shortest length of group 1 (matches that fail are dropped, but consumed). The text between
-    matches comes from ``split``; the running sum of the lengths gives the places."""
+    matches comes from ``split``; the running sum of the lengths gives the places, block by block."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if least else 0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), group.alias("group"))
+    parts = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), group.alias("group")),
+                        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["found"]), F.lit(0)).alias("size"),
+                                           (x["found"].isNotNull() & (F.length(x["group"]) >= least)).alias("keep")))
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"))
-        keep = x["found"].isNotNull() & (F.length(x["group"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"))
+        return F.struct((start + x["size"]).alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span)))
+                        .otherwise(acc["out"]).alias("out"))
+
+    def spans(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["size"]))
+        each = F.zip_with(blocks, F.slice(running(sums, F.lit(0), lambda a, n: a + n), F.lit(1), F.size(blocks)),
+                          lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(each)
+    return F.when(text.rlike(pattern), let(parts, lambda p: let(blocks_of(p), spans))).otherwise(none)
 
 
 def tagged(spans: Column, kind: str) -> Column:
@@ -72,7 +101,17 @@ def tagged(spans: Column, kind: str) -> Column:
 
 
 def free_of(spans: Column, base: Column) -> Column:
-    return F.filter(spans, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    """The spans that overlap none of ``base``; whole blocks of it that lie elsewhere are passed over."""
+    def extent(block: Column) -> Column:
+        return F.struct(block.alias("items"), F.array_min(F.transform(block, lambda b: b["start"])).alias("lo"),
+                        F.array_max(F.transform(block, lambda b: b["end"])).alias("hi"))
+
+    def meets(w: Column, blocks: Column) -> Column:
+        return F.exists(blocks, lambda x: (x["lo"] < w["end"]) & (w["start"] < x["hi"]) & F.exists(
+            x["items"], lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    free = let(F.transform(blocks_of(base), extent), lambda blocks: F.filter(
+        spans, lambda w: ~F.coalesce(meets(w, blocks), F.lit(False))))
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(free)
 
 
 def row_key(key: str, text: str) -> Column:
@@ -142,13 +181,24 @@ def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def masked(text: Column, spans: Column, mask: str) -> Column:
-    """The text with each group of overlapping spans (sorted) replaced by the mask."""
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
+    """The text with each group of overlapping spans (sorted) replaced by the mask; each block of spans works on
+    its own part of the text."""
+    last = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
+
+    def part(block: Column, before: Column) -> Column:
+        def fold(own: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                more = F.concat(acc["out"], F.substring(own, acc["at"] - before + 1, s["start"] - acc["at"]), F.lit(mask))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                                F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+            return F.aggregate(block, F.struct(before.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+        return let(F.substring(text, before + 1, F.greatest(last(block) - before, F.lit(0))), fold)
+
+    def whole(blocks: Column) -> Column:
+        return let(running(F.transform(blocks, last), F.lit(0), lambda a, e: F.greatest(a, e)), lambda ends: F.concat(
+            F.array_join(F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(blocks)), part), ""),
+            F.substring(text, F.element_at(ends, -1) + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(blocks_of(spans), whole))
 
 
 def mask_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import pytest
+
 from maternis.llm import secret_scan as S
 
 PATTERNS = {
@@ -89,6 +92,53 @@ def test_query_against_brute_force(spark):
         assert tuple(r)[1:6] == expected(docs[r.doc_id])
 
 
+def test_a_hundred_thousand_spans_in_one_text(spark):
+    import time
+    rng = random.Random(4)
+    words = [rng.choice([f"token=abcdef{k}", f"é{k}", f"login=user{k}", "f" * 24 + str(k % 7), "https://a.example/x"]) for k in range(160_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    start = time.time()
+    (found,) = S.find_secrets(df).collect()
+    (clear,) = S.mask_secrets(df).collect()
+    took = time.time() - start
+    base = [(m.start(), m.end()) for m in re.finditer(r"token=abcdef[0-9]+", text)]
+    assert [(s.start, s.end) for s in found.base if s.kind == 0] == base
+    hexes = [(m.start(), m.end()) for m in re.finditer(r"[0-9a-f]{24,}", text)]
+    assert [(s.start, s.end) for s in found.base if s.kind == 2] == hexes
+    spans = sorted((s.start, s.end) for s in found.spans)
+    assert len(spans) >= 100_000
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert clear.text == "".join(out) + text[at:]
+    assert took < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700])
+def test_blocks_change_nothing(spark, n):
+    from pyspark.sql import functions as F
+    text = "".join(f"ab{k % 10}x " for k in range(n)) + "é"
+    row = spark.createDataFrame([(text,)], "t string").select(S.match_spans(F.col("t"), r"b[0-9]").alias("s")).first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"b[0-9]", text)]
+    assert [tuple(x) for x in row.s] == want
+    rng = random.Random(n)
+    spans = sorted((a, 0, a + rng.randint(1, 12)) for a in rng.sample(range(len(text)), min(n, len(text) // 2)))
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,kind:int,end:int>>")
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], "#"]
+        at = max(at, b)
+    assert df.select(S.masked(F.col("t"), F.col("s"), "#")).first()[0] == "".join(out) + text[at:]
+    weak = [(a, 0, a + 2) for a in range(0, len(text), 3)]
+    got = spark.createDataFrame([(weak, spans)], "w array<struct<start:int,kind:int,end:int>>, s array<struct<start:int,kind:int,end:int>>")
+    free = [tuple(x) for x in got.select(S.free_of(F.col("w"), F.col("s"))).first()[0]]
+    assert free == [w for w in weak if not any(a < w[2] and w[0] < b for a, _, b in spans)]
+
+
 def test_masking_repeats_clashes_and_empty_table(spark):
     df = spark.createDataFrame([(1, f"é {ID} password=abcdef12 end", "a", 1), (1, "clean", "b", 2), (2, None, None, 3),
                                 (2, f"token={'a1' * 20}", "c", 4), (2, f"token={'a1' * 20}", "c", 4), (None, "clean", "d", 5)],
