@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,17 +26,22 @@ def clean_name(name: str) -> str:
     return s
 
 
-def clean_names(df: DataFrame) -> DataFrame:
-    """Normalise every column name; repeated names get the first numeric suffix that is free."""
+def unique_names(names: list[str]) -> list[str]:
+    """Normalised names; repeated ones get the first numeric suffix that is free."""
     out: list[str] = []
-    wanted = [clean_name(c) for c in df.columns]
+    wanted = [clean_name(c) for c in names]
     for n in wanted:
         name, k = n, 1
         while name in out or (k > 1 and name in wanted):
             k += 1
             name = f"{n}_{k}"
         out.append(name)
-    return df.toDF(*out)
+    return out
+
+
+def clean_names(df: DataFrame) -> DataFrame:
+    """Normalise every column name (``unique_names``)."""
+    return df.toDF(*unique_names(df.columns))
 
 
 def numeric_to_text(df: DataFrame) -> DataFrame:
@@ -78,30 +83,20 @@ def read_landed_raw(spark: SparkSession, root: str, first_year: int | None = Non
     return df
 
 
-# File name of a preliminary file: DO<yy>OPEN...csv -> file year 20yy.
-FILE_YEAR_PATTERN = r"DO(\d{2})OPEN"
-
-
-def year_of_file_name() -> Column:
-    """The file year in the name of the file that a row comes from; null if it names none."""
-    yy = F.regexp_extract(F.col("_metadata.file_name"), FILE_YEAR_PATTERN, 1)
-    return F.when(yy != "", F.lit(2000) + yy.cast("int")).cast("int")
-
-
 def read_preliminary_csv(spark: SparkSession, paths: list[str] | str, file_year: int | None = None,
-                         schema: T.StructType | None = None) -> DataFrame:
-    """';'-separated preliminary files; every column read as text.
+                         schema: T.StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """';'-separated preliminary files; every column read as text and bound by the header of its own file.
 
-    With ``schema`` the columns are taken as given (no inference pass); without
-    it the header names are used, all as text, then normalised. Each row gets
-    the file year ``ano_arquivo`` of its own file's name (the era rules follow
-    the file, not the date of death), or ``file_year`` if that is given.
+    ``schema`` names the columns that every file must have (in any order and case, among others); a file
+    without one of them is an error that names it. Without ``schema`` the columns of all headers are read.
+    Each row gets the file year ``ano_arquivo`` of its file's name (the era rules follow the file, not the
+    date of death), or ``file_year`` if that is given. Malformed rows are left to ``landing.malformed_rows``.
     """
-    r = spark.read.option("sep", ";").option("header", True)
-    df = r.schema(schema).csv(paths) if schema is not None else r.option("inferSchema", False).csv(paths)
-    year = F.lit(file_year).cast("int") if file_year is not None else year_of_file_name()
-    df = df.select("*", year.alias("ano_arquivo"))
-    return blanks_to_null(df if schema is not None else clean_names(df))
+    from . import landing
+    columns = schema.fieldNames() if schema is not None else None
+    found = landing.layouts(spark, paths, columns, encoding=encoding)
+    rows = landing.bound_rows(spark, found, columns, encoding=encoding).drop("_arquivo")
+    return rows.withColumn("ano_arquivo", F.lit(file_year).cast("int")) if file_year is not None else rows
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None,
