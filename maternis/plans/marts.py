@@ -120,12 +120,3 @@ def build_marts(classified: DataFrame, garbage: DataFrame, by: tuple[str, ...] =
 MART_INPUT = list(dict.fromkeys(
     ["res_codigo_adotado" if c == "codigo" else c
      for c in [*S.OM_COLUMNS[:-1], *S.AC_COLUMNS, *S.ONM_COLUMNS[:-1], *UF_KEYS, "materno", "desconsiderado"]]))
-
-
-def over_file_years(stored: DataFrame) -> DataFrame:
-    """A stored mart without its file year: counts of several files are summed."""
-    counts = [c for c in stored.columns if c.startswith("obitos")]
-    rest = [c for c in stored.columns if c not in counts and c != "ano_arquivo"]
-    if not counts:
-        return stored.select(*rest)
-    return stored.groupBy(*rest).agg(*[F.sum(c).alias(c) for c in counts])

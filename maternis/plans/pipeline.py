@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import dims
+from ..operators import dims, quality
 from ..sources import fixtures as FX
 from ..sources import files
-from ..sources.sinks import remove_path, write_mart
+from ..sources.publication import CheckFailed, publish, remove_path
 from . import marts as M
 from .classify import classify
 
@@ -88,31 +88,44 @@ def era_marts(spark: SparkSession, sf_dir: str, era: str) -> dict[str, DataFrame
     return _plans[k]
 
 
-def write_marts(classified: DataFrame, garbage: DataFrame, out_root: str, file_years: list[int]) -> dict[str, str]:
-    """Replace the given file years in the five stored marts.
+def run_checks(written: dict[str, DataFrame]) -> dict:
+    """The checks of a run, on the rows that it wrote: deaths of the official and the per-death mart by year must
+    agree, every garbage-code death must be an official one; rows with a null are counted for the record."""
+    totals = quality.control_totals(written["om"], written["ac"])
+    off = totals.where(~F.col("obitos_om").eqNullSafe(F.col("linhas_ac"))).limit(5).collect()
+    if off:
+        raise CheckFailed(f"control totals differ: {[r.asDict() for r in off]}")
+    if not written["gc"].exceptAll(written["om"].select(*written["gc"].columns)).isEmpty():
+        raise CheckFailed("garbage-code deaths that are no official deaths")
+    sums = totals.agg(F.count(F.lit(1)).alias("anos"), F.sum("obitos_om").alias("obitos")).first()
+    return {"years": sums["anos"], "deaths": sums["obitos"] or 0,
+            "rows_with_nulls": {name: quality.null_audit(written[name]).count() for name in ("om", "ac", "onm")}}
+
+
+def write_marts(classified: DataFrame, garbage: DataFrame, out_root: str, file_years: list[int],
+                batch: str | None = None) -> dict[str, str]:
+    """Replace the given file years in the five marts, as one published version.
 
     The classified certificates are staged once, only the columns that the marts read, as Parquet by
     file year on the marts' own (shared) storage; every mart reads the stage, pruned, and the stage
-    goes after success. A failed run leaves its stage folder for inspection and changes no other file year.
+    goes after success. A failed run leaves its stage folder for inspection and publishes nothing.
     """
     spark = classified.sparkSession
     stage = f"{out_root}/_stage-{uuid.uuid4().hex}"
     slim = classified.where(F.col("materno") | F.col("desconsiderado")).select(*M.MART_INPUT, "ano_arquivo")
     slim.write.partitionBy("ano_arquivo").parquet(stage)
     staged = spark.read.schema(slim.schema).parquet(stage)
-    paths = {}
-    for name, df in M.build_marts(staged, garbage, by=("ano_arquivo",)).items():
-        paths[name] = f"{out_root}/{name}"
-        write_mart(df, paths[name], file_years, sort_by=["codigo"] if "codigo" in df.columns else ["uf"])
+    marts = M.build_marts(staged, garbage, by=("ano_arquivo",))
+    publish(spark, out_root, marts, file_years, check=run_checks, batch=batch)
     remove_path(spark, stage)
-    return paths
+    return {name: f"{out_root}/{name}" for name in marts}
 
 
 def run_batch(spark: SparkSession, inputs: Inputs, out_root: str, years: tuple[int, int] | None = None) -> dict[str, str]:
     """Classify the landed files (of the file years ``years``, inclusive) and replace them in the marts.
 
     File years of the range without any certificate are replaced by nothing. Read the marts with
-    ``sources.sinks.read_mart``.
+    ``sources.sinks.read_mart``, or several of one version with ``sources.publication.snapshot``.
     """
     raw = inputs.raw
     if years is not None:

@@ -1,65 +1,47 @@
-"""Writers: marts as year-partitioned Parquet, published CSV, query exports."""
+"""Writers: stored marts by file year, published CSV in order, query exports."""
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .publication import publish, snapshot
 
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
+def _split(path: str) -> tuple[str, str]:
+    root, _, name = path.rstrip("/").rpartition("/")
+    return root, name
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this library wrote, on whatever store it is."""
-    fs, at = _file_system(spark, path)
-    fs.delete(at, True)
 
+def write_mart(df: DataFrame, path: str, file_years: list[int], sort_by: list[str] | None = None) -> None:
+    """Replace the file years of the one mart ``<root>/<name>`` in a new published version (``publication``).
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    fs, at = _file_system(spark, path)
-    return [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+    The unit of replacement is the file, not the year of death: a late death in a newer file never touches
+    an older file's rows, and a file year without any row left is gone."""
+    root, name = _split(path)
+    publish(df.sparkSession, root, {name: df}, file_years, sort_by=sort_by)
 
 
-def write_mart(df: DataFrame, path: str, file_years: list[int], sort_by: list[str] | None = None) -> None:
-    """Replace the file years ``file_years`` of a stored mart (Parquet in ``ano_arquivo``/``ano`` folders).
-
-    The unit of replacement is the file, not the year of death: a late death in
-    a newer file never touches an older file's rows. Folders that the run wrote
-    are overwritten (dynamic partition overwrite); folders of the same file
-    years that it did not write hold withdrawn rows and are removed, also where
-    a mart has no row left. Rows are range-partitioned on all columns, so a
-    year with a large share of the rows is split over many tasks.
-    """
-    spark = df.sparkSession
-    lead = ["ano_arquivo", "ano", *(sort_by or [])]
-    df = df.where(F.col("ano_arquivo").isin([int(y) for y in file_years]))
-    out = df.repartitionByRange(*lead, *[c for c in df.columns if c not in lead]).sortWithinPartitions(*lead)
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("maxRecordsPerFile", 5_000_000).partitionBy("ano_arquivo", "ano").parquet(path))
-    written = {(r["ano_arquivo"], r["ano"]) for r in df.select("ano_arquivo", "ano").distinct().collect()}  # years only
-    for year in file_years:
-        for folder in _folders(spark, f"{path}/ano_arquivo={int(year)}"):
-            value = unquote(folder.removeprefix("ano="))
-            if (int(year), None if value == "__HIVE_DEFAULT_PARTITION__" else int(value)) not in written:
-                remove_path(spark, f"{path}/ano_arquivo={int(year)}/{folder}")
+def read_mart(spark: SparkSession, path: str) -> DataFrame:
+    """The mart ``<root>/<name>`` of the newest version, over all its file years; a filter on ``ano`` prunes
+    folders. To read several marts of one version, hold a ``publication.snapshot``."""
+    root, name = _split(path)
+    return snapshot(spark, root).mart(name)
 
 
-def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    """A stored mart over all its file years; a filter on ``ano`` prunes folders.
+def in_order(df: DataFrame, first: list[str]) -> DataFrame:
+    """Rows in a total order: by ``first``, then by the other columns, nulls last. Spark deals ranges of that
+    order to tasks, so a code with a third of the rows is spread over several."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in [*first, *(c for c in df.columns if c not in first)]])
 
-    A mart whose every row was withdrawn has no folder left to infer columns from; it raises
-    Spark's missing-schema error, as a mart that was never written does."""
-    from ..plans.marts import over_file_years
-    return over_file_years(spark.read.option("basePath", path).parquet(path))
 
+def write_published_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Published mart: ',' separated, '.' decimals, header, no index column, ``NA`` for nulls.
 
-def write_published_csv(df: DataFrame, path: str) -> None:
-    """Published mart: ',' separated, '.' decimals, header, no index column, ``NA`` for nulls."""
-    df.write.mode("overwrite").option("header", True).option("sep", ",").option("nullValue", "NA").csv(path)
+    With ``order`` the files, read by name, are one table in that order (``in_order``); pass a stored mart, as
+    the ranges are found by a first pass over it."""
+    out = df if order is None else in_order(df, order)
+    out.write.mode("overwrite").option("header", True).option("sep", ",").option("nullValue", "NA").csv(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -1,85 +1,124 @@
 """Preliminary-year refresh as a Structured Streaming job.
 
 The preliminary files (one ';' CSV per year, re-published with more records
-every month) land in a folder. A file stream picks up each new file (the file
-source tracks files by path, so a re-published year lands under a new name,
-e.g. ``DO24OPEN_20241129.csv``; the year is read from the ``DOyyOPEN`` part).
+every month) land in a folder. The stream lists new files only (their content is
+not read by it); each batch reads its files by their own headers, as the batch
+reader does (``sources.landing``). The file source tracks files by path, so a
+re-published year lands under a new name, e.g. ``DO24OPEN_20241129.csv``; the year
+is read from the ``DOyyOPEN`` part.
 
 The unit of replacement is the file: ``foreachBatch`` classifies the batch once
 and replaces exactly its file years in every mart, also where a mart has no row
-of them any more. Deaths of other years in a file stay in that file's year and
-never touch the history. Of several versions of one year in a batch the latest
-(by modification time, then name) counts. Nothing is dropped unseen: each
-batch writes a report of its files (year, rows, ``applied``, ``superseded`` or
-``rejected``), and the rows of files that name no year are kept, as they came,
-under ``_rejected``; a year is never inferred from a row.
+of them any more, in one published version (``sources.publication``): readers see
+all five marts before or after it. Deaths of other years in a file stay in that
+file's year and never touch the history. Of several versions of one year in a
+batch the latest (by modification time, then name) counts.
+
+Nothing is dropped unseen: each batch writes a report of its files under ``_files``
+(year, lines, rows, malformed rows, empty lines, status, reason). Status is
+``applied``, ``superseded`` or ``rejected`` (no year in the name, or a column is
+missing). Malformed rows of applied files are kept under ``_malformed`` with file and
+line, the lines of rejected files under ``_rejected`` as they came; a year is never
+inferred from a row.
 
 The streaming checkpoint (in shared storage) records which files were
 processed, so a restarted or failed run resumes without losing a file; a batch
-retried after a failure replaces the same file years again, so the writes are
-idempotent. Run it with ``trigger(availableNow=True)`` from the monthly
-schedule: it processes what has landed and stops.
+retried after its version was published changes nothing. Run it with
+``trigger(availableNow=True)`` from the monthly schedule: it processes what has
+landed and stops.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
 from ..plans.classify import classify
 from ..plans.pipeline import write_marts
-from ..sources.files import blanks_to_null, year_of_file_name
+from ..sources import landing
+
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+REPORT = ("ano_arquivo int, _arquivo string, _publicado timestamp, linhas bigint, registros bigint, malformados bigint, "
+          "vazias bigint, status string, motivo string")
+APPLIED, SUPERSEDED, REJECTED = "applied", "superseded", "rejected"
 
 
-def preliminary_stream(spark: SparkSession, landing_dir: str,
-                       schema: T.StructType = S.RAW_SCHEMA) -> DataFrame:
-    """Streaming DataFrame of landed preliminary certificates with the file's year, name and time."""
-    raw = (spark.readStream.schema(schema).option("sep", ";").option("header", True)
-           .csv(landing_dir))
-    return raw.select(*schema.fieldNames(), year_of_file_name().alias("ano_arquivo"),
-                      F.col("_metadata.file_name").alias("_arquivo"),
-                      F.col("_metadata.file_modification_time").alias("_publicado"))
+def preliminary_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
+    """Streaming DataFrame of the landed files: ``path, modificationTime, length``; contents are not read."""
+    return (spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "[!._]*")
+            .load(landing_dir).select("path", "modificationTime", "length"))
 
 
-def file_report(batch: DataFrame) -> DataFrame:
-    """One row per file of the batch: ``ano_arquivo, _arquivo, _publicado, rows, status``."""
-    files = batch.groupBy("ano_arquivo", "_arquivo", "_publicado").agg(F.count(F.lit(1)).alias("rows"))
-    latest = files.groupBy("ano_arquivo").agg(F.max(F.struct("_publicado", "_arquivo")).alias("_latest"))
-    status = F.when(F.col("ano_arquivo").isNull(), "rejected").when(
-        F.struct("_publicado", "_arquivo") == F.col("_latest"), "applied").otherwise("superseded")
-    return files.join(latest.withColumnRenamed("ano_arquivo", "_ano"), F.col("ano_arquivo").eqNullSafe(F.col("_ano"))).select(
-        "ano_arquivo", "_arquivo", "_publicado", "rows", status.alias("status"))
+def judge_files(spark: SparkSession, files: list[tuple[str, datetime]], encoding: str) -> list[dict]:
+    """Year, status and reason of each file of a batch (``path, modification time``)."""
+    out = []
+    for path, time in files:
+        name = path.rsplit("/", 1)[1]
+        row = {"path": path, "_arquivo": name, "_publicado": time, "ano_arquivo": landing.year_of_name(name),
+               "status": APPLIED, "motivo": None, "layout": None}
+        try:
+            (row["layout"],) = landing.layouts(spark, path, encoding=encoding)
+            landing.layouts(spark, path, S.RAW_COLUMNS, encoding=encoding)
+        except landing.MissingColumns as e:
+            row |= {"status": REJECTED, "motivo": str(e).rsplit(": ", 1)[1]}
+        if row["ano_arquivo"] is None:
+            row |= {"status": REJECTED, "motivo": "the name states no year"}
+        out.append(row)
+    latest: dict[int, tuple] = {}
+    for row in out:
+        if row["status"] == APPLIED:
+            latest[row["ano_arquivo"]] = max(latest.get(row["ano_arquivo"], ()), (row["_publicado"], row["_arquivo"]))
+    for row in out:
+        if row["status"] == APPLIED and (row["_publicado"], row["_arquivo"]) != latest[row["ano_arquivo"]]:
+            row |= {"status": SUPERSEDED, "motivo": "a later version of the year is in the batch"}
+    return out
 
 
-def refresh_batch(municipalities: DataFrame, icd: DataFrame, garbage: DataFrame,
-                  out_root: str) -> Callable[[DataFrame, int], None]:
+def refresh_batch(municipalities: DataFrame, icd: DataFrame, garbage: DataFrame, out_root: str,
+                  encoding: str = "UTF-8") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: classify the batch's applied files and replace their years in every mart."""
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        report = f"{out_root}/_files/epoch={epoch_id}"
-        file_report(batch).write.mode("overwrite").parquet(report)
-        files = spark.read.parquet(report)
-        applied = [(r["ano_arquivo"], r["_arquivo"]) for r in files.where("status = 'applied'").collect()]  # one a year
-        batch.where(F.col("ano_arquivo").isNull()).write.mode("overwrite").parquet(f"{out_root}/_rejected/epoch={epoch_id}")
-        if not applied:
+        listed = sorted((r["path"], r["modificationTime"], r["length"]) for r in batch.collect())  # one row a file
+        if not listed:
+            return
+        files = judge_files(spark, [f[:2] for f in listed], encoding)
+        by_status = {s: [f["path"] for f in files if f["status"] == s] for s in (APPLIED, REJECTED)}
+        found = landing.layouts(spark, [f["path"] for f in files], encoding=encoding)
+        counts = {r["_arquivo"]: r for r in landing.file_counts(spark, found, encoding=encoding).collect()}  # one row a file
+        rows = []
+        for f in files:
+            n = counts.get(f["_arquivo"])
+            rows.append((f["ano_arquivo"], f["_arquivo"], f["_publicado"],
+                         *([n["linhas"], n["registros"], n["malformados"], n["vazias"]] if n else [0, 0, 0, 0]),
+                         f["status"], f["motivo"]))
+        spark.createDataFrame(rows, REPORT).write.mode("overwrite").parquet(f"{out_root}/_files/epoch={epoch_id}")
+        if by_status[REJECTED]:
+            landing.raw_lines(spark, landing.layouts(spark, by_status[REJECTED], encoding=encoding), encoding=encoding).write.mode(
+                "overwrite").parquet(f"{out_root}/_rejected/epoch={epoch_id}")
+        if not by_status[APPLIED]:
             return
-        rows = batch.where(F.col("_arquivo").isin([name for _, name in applied]))
-        raw = blanks_to_null(rows, S.RAW_COLUMNS).drop("_arquivo", "_publicado")
-        write_marts(classify(raw, municipalities, icd), garbage, out_root, [year for year, _ in applied])
+        applied = landing.layouts(spark, by_status[APPLIED], S.RAW_COLUMNS, encoding=encoding)
+        landing.malformed_rows(spark, applied, encoding=encoding).write.mode("overwrite").parquet(
+            f"{out_root}/_malformed/epoch={epoch_id}")
+        raw = landing.bound_rows(spark, applied, S.RAW_COLUMNS, encoding=encoding).drop("_arquivo")
+        years = sorted(f["ano_arquivo"] for f in files if f["status"] == APPLIED)
+        write_marts(classify(raw, municipalities, icd), garbage, out_root, years,
+                    batch=hashlib.sha256(repr(listed).encode()).hexdigest())
     return run
 
 
 def start_refresh(spark: SparkSession, landing_dir: str, out_root: str, checkpoint_location: str,
                   municipalities: DataFrame, icd: DataFrame, garbage: DataFrame,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, encoding: str = "UTF-8") -> StreamingQuery:
     """Start the refresh. ``maxFilesPerTrigger`` is left unset, so a run takes all new files at once."""
     writer = (preliminary_stream(spark, landing_dir).writeStream
-              .foreachBatch(refresh_batch(municipalities, icd, garbage, out_root))
+              .foreachBatch(refresh_batch(municipalities, icd, garbage, out_root, encoding))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")
     return writer.start()
