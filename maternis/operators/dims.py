@@ -52,9 +52,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> Data
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def enrich_municipality(df: DataFrame, municipalities: DataFrame, key: str = "codmunres") -> DataFrame:
-    """Left join on the residence municipality; unmatched rows keep null geography."""
-    return df.join(bounded_broadcast(municipalities), on=key, how="left")
+#: Keys over which the rows without a key are dealt in a shuffle join.
+NULL_KEYS = 1_024
+
+
+def enrich_municipality(df: DataFrame, municipalities: DataFrame, key: str = "codmunres",
+                        max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """Left join on the residence municipality; unmatched rows keep null geography.
+
+    Above the broadcast bound the rows without a municipality, which match nothing, are dealt over
+    ``NULL_KEYS`` keys that no municipality has, so that they do not all meet in one task."""
+    if fits(municipalities, max_rows):
+        return df.join(F.broadcast(municipalities), on=key, how="left")
+    rest = [c for c in municipalities.columns if c != key]
+    dealt = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_KEYS)).cast("string"))
+    rows = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), dealt))
+    side = municipalities.withColumn("_key", F.col(key).cast("string")).drop(key)
+    return rows.join(side, "_key", "left").select(key, *[c for c in df.columns if c != key], *rest)
 
 
 def enrich_icd(df: DataFrame, icd: DataFrame, key: str = "causabas") -> DataFrame:
@@ -76,9 +90,9 @@ def category_ordinal(code: Column) -> Column:
     return (F.ascii(F.substring(code, 1, 1)) - 65) * 100 + F.substring(code, 2, 2).try_cast("int")
 
 
-def by_category(intervals: DataFrame, lo: str, hi: str, label: str) -> DataFrame:
+def by_category(intervals: DataFrame, lo: str, hi: str, *labels: str) -> DataFrame:
     """One row per interval and category in it: an interval join becomes an equi-join on the ordinal."""
-    return intervals.select(lo, hi, label, F.explode(F.sequence(
+    return intervals.select(lo, hi, *labels, F.explode(F.sequence(
         category_ordinal(F.col(lo)), category_ordinal(F.col(hi)))).alias("_ordinal")).where(
         category_ordinal(F.col(lo)) <= category_ordinal(F.col(hi)))
 
@@ -110,6 +124,31 @@ def narrowest_interval(matches: DataFrame, key: str, lo: str = "CATINIC") -> Dat
     return matches.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def interval_tree(intervals: DataFrame, lo: str = "CATINIC", hi: str = "CATFIM", label: str = "DESCRICAO") -> DataFrame:
+    """The intervals as a tree: ``no, pai, profundidade, ordem`` and the interval's columns.
+
+    ``no`` is the interval's text (``A00-B99``). The parent ``pai`` is the narrowest other interval around it (null:
+    none), depth counts the intervals around it, and ``ordem`` is the preorder from 1: by start, the widest first.
+    An interval that crosses another one is no part of it. Equal intervals are one node, with the least label. The
+    number of categories (2,600) bounds the nodes that lie around a category to the tree's depth, so the equi-join on
+    the first category emits one row a node and ancestor.
+    """
+    nodes = intervals.groupBy(F.col(lo).alias("CATINIC"), F.col(hi).alias("CATFIM")).agg(F.min(label).alias("DESCRICAO")).where(
+        category_ordinal(F.col("CATINIC")) <= category_ordinal(F.col("CATFIM")))
+    nodes = nodes.select(F.concat_ws("-", "CATINIC", "CATFIM").alias("no"), "CATINIC", "CATFIM", "DESCRICAO",
+                         category_ordinal(F.col("CATINIC")).alias("_lo"), category_ordinal(F.col("CATFIM")).alias("_hi"))
+    around = by_category(nodes, "CATINIC", "CATFIM", "no", "_lo", "_hi").select(
+        F.col("_ordinal").alias("_at"), F.col("no").alias("_no"), F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
+    pairs = nodes.join(around, (F.col("_lo") == F.col("_at")) & (F.col("_hi") <= F.col("_to")) & (F.col("no") != F.col("_no")))
+    up = pairs.groupBy("no").agg(F.min(F.struct((F.col("_to") - F.col("_from")).alias("width"), F.col("_no").alias("no")))["no"]
+                                 .alias("pai"), F.count(F.lit(1)).cast("int").alias("profundidade"))
+    # one row a distinct interval of categories
+    order = Window.orderBy(F.col("_lo").asc(), F.col("_hi").desc())
+    return nodes.join(up, "no", "left").select(
+        "no", "pai", F.coalesce("profundidade", F.lit(0)).alias("profundidade"), F.row_number().over(order).alias("ordem"),
+        "CATINIC", "CATFIM", "DESCRICAO")
+
+
 def icd_dimension(causes: DataFrame, chapters: DataFrame, key: str = "causabas",
                   assume_distinct: bool = False) -> DataFrame:
     """causabas -> causabas_categoria, capitulo_cid10, for every distinct cause.

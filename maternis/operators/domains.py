@@ -30,3 +30,19 @@ def series_count(df: DataFrame, col: str) -> DataFrame:
     """Number of distinct values of ``col``, a null counting as one value."""
     return df.agg((F.count_distinct(col)
                    + F.coalesce(F.max(F.col(col).isNull().cast("int")), F.lit(0))).alias("n_series"))
+
+
+def facet_of_values(values: DataFrame, column: str) -> DataFrame:
+    """``facet_domain`` as text from the stored distinct values (``coluna, valor``), without a scan of the mart."""
+    of = values.where((F.col("coluna") == column) & F.col("valor").isNotNull()).select(F.col("valor").alias(column)).distinct()
+    return of.orderBy(F.collate(F.col(column), COLLATION))
+
+
+def year_bounds_of_values(values: DataFrame, column: str = "ano") -> DataFrame:
+    """``year_bounds`` from the stored distinct values."""
+    return year_bounds(values.where(F.col("coluna") == column).select(F.col("valor").cast("int").alias(column)), column)
+
+
+def series_count_of_values(values: DataFrame, column: str) -> DataFrame:
+    """``series_count`` of a whole mart's column from the stored distinct values."""
+    return series_count(values.where(F.col("coluna") == column).select(F.col("valor").alias(column)), column)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import dims
+
 
 def null_audit(df: DataFrame) -> DataFrame:
     """Rows with a null in any column."""
@@ -25,6 +27,36 @@ def dupes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             .where(F.col("dupe_count") > 1))
 
 
+#: Copies from which a group of equal rows is joined by broadcast, so that its rows are not shuffled to one task.
+HOT_COPIES = 100_000
+
+
+def duplicate_rows(df: DataFrame, columns: list[str] | None = None, hot_copies: int = HOT_COPIES) -> DataFrame:
+    """Every copy of the rows that occur more than once (in ``columns``, default all), with ``dupe_count``.
+
+    The counts are combined map-side (``dupes``) and joined back, null matching null. Groups of
+    ``hot_copies`` and more, at most rows / ``hot_copies`` of them, are broadcast if their number is
+    proven small, so their copies stay where they are read; the copies of the other groups are shuffled,
+    fewer than ``hot_copies`` a group. Neither a window nor a list ever holds a group.
+    """
+    cols = columns or df.columns
+    groups = dupes(df.select(*cols))
+    rest = [c for c in df.columns if c not in cols]
+    hot, cold = groups.where(F.col("dupe_count") >= hot_copies), groups.where(F.col("dupe_count") < hot_copies)
+    # the hot groups' counts prove their number: each stands for hot_copies rows at least
+    hot_side = dims.bounded_broadcast(hot) if not hot.isEmpty() else None
+
+    def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
+        r, g = rows.alias("_r"), side.alias("_g")
+        same = reduce(lambda a, b: a & b, [F.col(f"_r.`{c}`").eqNullSafe(F.col(f"_g.`{c}`")) for c in cols])
+        return r.join(g, same).select(*[F.col(f"_r.`{c}`") for c in cols], F.col("_g.dupe_count"), *[F.col(f"_r.`{c}`") for c in rest])
+    if hot_side is None:
+        return joined(df, cold)
+    h = hot_side.select(*[F.col(c).alias(f"_h_{k}") for k, c in enumerate(cols)])
+    is_hot = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_h_{k}")) for k, c in enumerate(cols)])
+    return joined(df, hot_side).unionByName(joined(df.join(h, is_hot, "left_anti"), cold))
+
+
 def control_totals(om: DataFrame, ac: DataFrame) -> DataFrame:
     """Per year: deaths in the official mart, and rows of the per-death mart.
 

@@ -60,3 +60,34 @@ def grand_total(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.sum(F.col("obitos").cast("long")), F.lit(0)).alias("obitos"))
 
 
+def values_in_order(table: DataFrame, by: list[str], value: str, position: list[str]) -> DataFrame:
+    """``by, value``: the distinct values of each group in the order of their first appearance, joined with ', '.
+
+    A row's place is its tuple of ``position`` columns (nulls first), so the order does not depend on how the rows
+    are partitioned. The least place of each value is found first, with partial aggregation; a group then holds
+    one row a distinct value (the column's domain, a handful of labels). Null values are left out.
+    """
+    first = table.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        F.min(F.struct(*[F.col(c) for c in position])).alias("_first"))
+    listed = F.array_sort(F.collect_list(F.struct("_first", F.col(value).cast("string").alias("_value"))))
+    return first.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["_value"]), ", ").alias(value))
+
+
+def tree_rollup(leaves: DataFrame, tree: DataFrame, category: str = "causabas_categoria", count: str = "obitos") -> DataFrame:
+    """Deaths of every node of an interval tree (``dims.interval_tree``), its descendants included.
+
+    Output: ``no, pai, profundidade, ordem, CATINIC, CATFIM, DESCRICAO, obitos, obitos_proprios``; the last one
+    counts deaths of no child, so a node's deaths are its own plus its children's. Nodes without deaths have 0.
+    Leaves are summed by category before the join, so it sees 2,600 rows at most.
+    """
+    from . import dims
+    by_category = leaves.groupBy(category).agg(F.sum(F.col(count).cast("long")).alias("_n"))
+    nodes = dims.by_category(tree.select("CATINIC", "CATFIM", "no", "profundidade"), "CATINIC", "CATFIM", "no", "profundidade")
+    found = by_category.withColumn("_ordinal", dims.category_ordinal(F.col(category))).join(nodes, "_ordinal")
+    deepest = found.groupBy(category).agg(F.max(F.struct("profundidade", "no"))["no"].alias("_own"))
+    sums = found.join(deepest, category).groupBy("no").agg(
+        F.sum("_n").alias("obitos"), F.sum(F.when(F.col("no") == F.col("_own"), F.col("_n"))).alias("obitos_proprios"))
+    return tree.join(sums, "no", "left").select(
+        "no", "pai", "profundidade", "ordem", "CATINIC", "CATFIM", "DESCRICAO",
+        F.coalesce("obitos", F.lit(0)).cast("bigint").alias("obitos"),
+        F.coalesce("obitos_proprios", F.lit(0)).cast("bigint").alias("obitos_proprios"))
