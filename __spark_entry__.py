@@ -24,12 +24,14 @@ from maternis.functions import recode as R  # noqa: E402
 from maternis.operators import crosstab as X  # noqa: E402
 from maternis.operators import dims, domains, quality, rollup, search  # noqa: E402
 from maternis.operators.joins import append, natural_full_join  # noqa: E402
+from maternis.plans import landed as LD  # noqa: E402
 from maternis.plans import marts as M  # noqa: E402
 from maternis.plans import pipeline as P  # noqa: E402
 from maternis.plans import report as RP  # noqa: E402
 from maternis.plans.classify import derive_stage, recode_stage  # noqa: E402
 from maternis.sources import files  # noqa: E402
 from maternis.sources import fixtures as FX  # noqa: E402
+from maternis.sources import publication as PUB  # noqa: E402
 
 import sql_oracle as O  # noqa: E402
 
@@ -104,6 +106,20 @@ def _numbered_uf_table(spark, sf):
     return table.withColumn("posicao", place.cast("long"))
 
 
+def _values(df):
+    """``coluna, valor, linhas`` of the columns of a table."""
+    return PUB.value_counts(df.withColumn("ano_arquivo", F.lit(0))).drop("ano_arquivo")
+
+
+def _sums_by_state_and_race(spark, sf, mart, name):
+    return _marts(spark, sf)[mart].groupBy("uf", "racacor").agg(F.sum("obitos").alias(name))
+
+
+def _types_in_order(spark, sf):
+    rows = _marts(spark, sf)["om"].withColumn("codigo", F.coalesce("codigo", F.lit("")))
+    return rollup.values_in_order(rows, ["capitulo_cid10"], "tipo_de_morte_materna", ["codigo", "ano", "causabas"])
+
+
 def _crosstab_long(spark, sf):
     return X.crosstab_long(_marts(spark, sf)["ac"], "racacor", "ano", _ac_params())
 
@@ -148,6 +164,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                      P.era_marts(s, d, S.PRELIMINARY)["om"]),
         "natural_full_join": lambda s, d: natural_full_join(P.era_marts(s, d, S.HISTORY)["om"],
                                                             P.era_marts(s, d, S.PRELIMINARY)["om"]),
+        "natural_full_join_overlap": lambda s, d: natural_full_join(
+            _sums_by_state_and_race(s, d, "om", "obitos_maternos"),
+            _sums_by_state_and_race(s, d, "onm", "obitos_desconsiderados"), ["uf", "racacor"]),
+        # landed files, refreshes and publication
+        "landed_parquet_years": LD.landed_years,
+        "landed_csv_by_header": LD.landed_csv,
+        "refresh_union": LD.refresh_union,
+        "published_om": lambda s, d: LD.published(s, d).mart("om"),
+        "published_uf_csv": LD.published_csv,
         # ICD interval joins
         "icd_chapter": lambda s, d: dims.icd_dimension(_icd_causes(s, d), files.chapters_frame(s)),
         "icd_groups_all": lambda s, d: dims.interval_matches(
@@ -187,6 +212,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "uf_table_sorted": lambda s, d: _numbered_uf_table(s, d),
         "report_uf": lambda s, d: RP.uf_report(_marts(s, d)["uf"], YEAR),
         "nested_rollup": lambda s, d: rollup.nested_rollup(_om_table(s, d)),
+        "tree_rollup": lambda s, d: rollup.tree_rollup(_marts(s, d)["om"], dims.interval_tree(FX.nested_intervals(s))),
+        "types_in_order": _types_in_order,
         # cross analysis
         "crosstab_long": _crosstab_long,
         "crosstab_pct_column": lambda s, d: X.crosstab_table(_marts(s, d)["ac"], "racacor", "ano", "column",
@@ -213,10 +240,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # quality
         "dupes_documents": lambda s, d: quality.dupes(FX.table(s, d, "documents").select("text")),
         "dupes_om": lambda s, d: quality.dupes(_marts(s, d)["ac"].select(*AC_PROFILE)),
+        "dupe_rows_documents": lambda s, d: quality.duplicate_rows(FX.table(s, d, "documents").select("doc_id", "text"), ["text"]),
+        "dupe_rows_ac": lambda s, d: quality.duplicate_rows(_marts(s, d)["ac"].select("codigo", *AC_PROFILE), list(AC_PROFILE)),
         "null_audit": lambda s, d: quality.null_audit(_marts(s, d)["ac"]),
         "control_totals": lambda s, d: quality.control_totals(_marts(s, d)["om"], _marts(s, d)["ac"]),
         # table search and formatting
         "search_any": lambda s, d: search.search_any(_om_table(s, d), "parda"),
+        "search_values": lambda s, d: search.search_values(_om_table(s, d), _values(_om_table(s, d)), "parda"),
+        "facet_values": lambda s, d: _values(_marts(s, d)["om"]),
         "filter_column": lambda s, d: search.filter_column(_om_table(s, d), "tipo_de_morte_materna", "DIRETA"),
         "filter_contains": lambda s, d: search.filter_contains(_om_table(s, d), "tipo_de_morte_materna", "ireta"),
         "long_date_pt": lambda s, d: FX.table(s, d, "orders").select(
@@ -254,6 +285,13 @@ gm AS (
   FROM causes k JOIN iv ON substr(k.causabas, 1, 3) BETWEEN iv."CATINIC" AND iv."CATFIM"
   WHERE k.causabas IS NOT NULL
 )"""
+    tree = groups_all.split("causes AS")[0] + """
+nodes AS (SELECT "CATINIC" || '-' || "CATFIM" AS no, *, (ascii("CATINIC") - 65) * 100 + CAST(substr("CATINIC", 2) AS INTEGER) AS lo,
+          (ascii("CATFIM") - 65) * 100 + CAST(substr("CATFIM", 2) AS INTEGER) AS hi FROM iv),
+placed AS (SELECT a.*, row_number() OVER (ORDER BY a.lo, a.hi DESC) AS ordem,
+    (SELECT b.no FROM nodes b WHERE b.lo <= a.lo AND b.hi >= a.hi AND b.no <> a.no ORDER BY b.hi - b.lo, b.no LIMIT 1) AS pai,
+    (SELECT COUNT(*) FROM nodes b WHERE b.lo <= a.lo AND b.hi >= a.hi AND b.no <> a.no) AS profundidade,
+    (SELECT SUM(m.obitos) FROM om m WHERE m.causabas_categoria BETWEEN a."CATINIC" AND a."CATFIM") AS obitos FROM nodes a)"""
     months = O._list(S.MONTHS_PT)
     uf_cols = ", ".join(S.UF_COLUMNS)
     search_cols = [c.strip() for c in om_table_cols.split(",")]
@@ -301,6 +339,20 @@ gm AS (
             "AND h.investigacao_cmm IS NOT DISTINCT FROM p.investigacao_cmm "
             "AND h.racacor IS NOT DISTINCT FROM p.racacor AND h.idade IS NOT DISTINCT FROM p.idade "
             "AND h.obitos IS NOT DISTINCT FROM p.obitos"),
+        "natural_full_join_overlap": W(
+            "SELECT COALESCE(a.uf, b.uf) AS uf, COALESCE(a.racacor, b.racacor) AS racacor, a.obitos_maternos, b.obitos_desconsiderados "
+            "FROM (SELECT uf, racacor, CAST(SUM(obitos) AS BIGINT) AS obitos_maternos FROM om GROUP BY uf, racacor) a FULL OUTER JOIN "
+            "(SELECT uf, racacor, CAST(SUM(obitos) AS BIGINT) AS obitos_desconsiderados FROM onm GROUP BY uf, racacor) b "
+            "ON a.uf IS NOT DISTINCT FROM b.uf AND a.racacor IS NOT DISTINCT FROM b.racacor"),
+        "landed_parquet_years": W(
+            "SELECT ano_arquivo, sexo, COUNT(*) AS n FROM sim_raw WHERE ano_arquivo BETWEEN 2015 AND 2024 GROUP BY ALL"),
+        "landed_csv_by_header": W(
+            f"SELECT {', '.join(S.RAW_COLUMNS)}, ano_arquivo, COUNT(*) AS n FROM sim_raw WHERE ano_arquivo >= 2023 GROUP BY ALL"),
+        "refresh_union": W("SELECT * FROM om").replace(
+            O.FILE_YEAR, "CAST(1996 + (l_orderkey + l_suppkey) % 29 + CASE WHEN l_suppkey % 20 <> 0 AND l_suppkey % 7 = 0 THEN 1 ELSE 0 END "
+            "AS INTEGER) AS ano_arquivo"),
+        "published_om": W("SELECT * FROM om"),
+        "published_uf_csv": W(f"SELECT {uf_cols} FROM uf_mart"),
         "icd_chapter": W(
             "SELECT k.causabas, substr(k.causabas, 1, 3) AS causabas_categoria, ch.label AS capitulo_cid10 "
             "FROM (SELECT DISTINCT CASE WHEN causabas IN ('O935', 'O937') THEN 'O95' ELSE causabas END AS causabas "
@@ -349,6 +401,16 @@ gm AS (
             "'Todos' AS periodo_do_obito, 'Todas' AS racacor, 'Todas as categorias' AS investigacao_cmm "
             "FROM rt GROUP BY ROLLUP (capitulo_cid10, causabas_categoria)",
             f"rt AS ({om_table})"),
+        "tree_rollup": W(
+            "SELECT no, pai, CAST(profundidade AS INTEGER) AS profundidade, CAST(ordem AS INTEGER) AS ordem, \"CATINIC\", \"CATFIM\", "
+            "\"DESCRICAO\", CAST(COALESCE(obitos, 0) AS BIGINT) AS obitos, "
+            "CAST(COALESCE(obitos, 0) - COALESCE(dos_filhos, 0) AS BIGINT) AS obitos_proprios FROM placed "
+            "LEFT JOIN (SELECT pai AS p, SUM(obitos) AS dos_filhos FROM placed GROUP BY pai) ON p = no", tree),
+        "types_in_order": W(
+            "SELECT capitulo_cid10, string_agg(tipo_de_morte_materna, ', ' ORDER BY pos) AS tipo_de_morte_materna FROM ("
+            "SELECT capitulo_cid10, tipo_de_morte_materna, MIN(pos) AS pos FROM (SELECT *, row_number() OVER (ORDER BY "
+            "COALESCE(codigo, ''), ano NULLS FIRST, causabas NULLS FIRST) AS pos FROM om) WHERE tipo_de_morte_materna IS NOT NULL "
+            "GROUP BY ALL) GROUP BY capitulo_cid10"),
         "crosstab_long": W(
             "SELECT racacor AS variavel_linha, ano AS variavel_coluna, COUNT(*) AS obitos FROM ac "
             f"WHERE ano BETWEEN {AC_YEARS[0]} AND {AC_YEARS[1]} AND racacor IS NOT NULL AND idade BETWEEN 10 AND 49 "
@@ -388,10 +450,17 @@ gm AS (
             f"AND regiao IN ({', '.join(O._q(r) for r in ALL_REGIONS)}) GROUP BY racacor, ano)"),
         "dupes_documents": "SELECT text, COUNT(*) AS dupe_count FROM documents GROUP BY text HAVING COUNT(*) > 1",
         "dupes_om": W(f"SELECT {', '.join(AC_PROFILE)}, COUNT(*) AS dupe_count FROM ac GROUP BY ALL HAVING COUNT(*) > 1"),
+        "dupe_rows_documents": ("SELECT text, dupe_count, doc_id FROM (SELECT text, doc_id, COUNT(*) OVER (PARTITION BY text) AS dupe_count "
+                                "FROM documents) WHERE dupe_count > 1"),
+        "dupe_rows_ac": W(f"SELECT {', '.join(AC_PROFILE)}, dupe_count, codigo FROM (SELECT *, COUNT(*) OVER (PARTITION BY "
+                          f"{', '.join(AC_PROFILE)}) AS dupe_count FROM ac) WHERE dupe_count > 1"),
         "null_audit": W("SELECT * FROM ac WHERE " + " OR ".join(f"{c} IS NULL" for c in S.AC_COLUMNS)),
         "control_totals": W(
             "SELECT ano, CAST(SUM(om_n) AS BIGINT) AS obitos_om, CAST(SUM(ac_n) AS BIGINT) AS linhas_ac FROM ("
             "SELECT ano, obitos AS om_n, 0 AS ac_n FROM om UNION ALL SELECT ano, 0, 1 FROM ac) GROUP BY ano"),
+        "search_values": W(f"SELECT * FROM ({om_table}) WHERE {search_cond}"),
+        "facet_values": W(" UNION ALL ".join(
+            f"SELECT '{c}' AS coluna, CAST({c} AS VARCHAR) AS valor, COUNT(*) AS linhas FROM om GROUP BY {c}" for c in S.OM_COLUMNS[:-1])),
         "search_any": W(f"SELECT * FROM ({om_table}) WHERE {search_cond}"),
         "filter_column": W(f"SELECT * FROM ({om_table}) WHERE contains(lower(tipo_de_morte_materna), 'direta')"),
         "filter_contains": W(f"SELECT * FROM ({om_table}) WHERE contains(tipo_de_morte_materna, 'ireta')"),

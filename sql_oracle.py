@@ -27,6 +27,7 @@ def _case(col: str, labels: dict, unknown=("9",), unknown_label=S.IGNORED) -> st
 
 CHAPTERS_VALUES = ", ".join(f"({_q(lo)}, {_q(hi)}, {_q(label)})" for lo, hi, label in S.ICD_CHAPTERS)
 
+FILE_YEAR = "CAST(1996 + (l_orderkey + l_suppkey) % 29 AS INTEGER) AS ano_arquivo"
 SIM_RAW = f"""
 sim_raw AS (
   SELECT
@@ -45,7 +46,7 @@ sim_raw AS (
     (['1', '2', '9', NULL])[(l_partkey + l_suppkey + l_linenumber) % 4 + 1] AS necropsia,
     (['1', '2', '9', NULL, '3'])[(l_suppkey + l_linenumber) % 5 + 1] AS fonteinv,
     CASE WHEN l_suppkey % 20 = 0 THEN NULL ELSE CAST(l_suppkey AS VARCHAR) END AS codmunres,
-    CAST(1996 + (l_orderkey + l_suppkey) % 29 AS INTEGER) AS ano_arquivo
+    {FILE_YEAR}
   FROM lineitem
 )"""
 
