@@ -199,7 +199,7 @@ def _mine(sizes: tuple[int, ...], shards: int, bits):
         shard = TaskContext.get().partitionId() % shards
         for lang, part in slices(batches):
             group = (xxhash.xxh3_64_intdigest(lang) >> 20 << LANG_BIT) + (shard << SHARD_BIT)
-            counts = [(0, np.zeros(1, U8), np.array([len(part.word)]))]
+            yield _mined(group, 0, np.zeros(1, U8), np.array([len(part.word)]))
             for size in sizes:
                 at = part.places(size)
                 if bits is not None:
@@ -208,14 +208,16 @@ def _mine(sizes: tuple[int, ...], shards: int, bits):
                     at = at[may_hold(held, part.hashes(at + 1, size - 1))]
                 names = np.sort(part.hashes(at, size))
                 start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.empty(0, np.int64)
-                counts.append((size, names[start], np.diff(start, append=len(names))))
-            for size, names, n in counts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), group + size, np.int64)),
-                                                  pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))],
-                                                 names=["g", "h", "n"])
+                yield _mined(group, size, names[start], np.diff(start, append=len(names)))
+            del part  # before the next slice is made
     return run
 
 
+def _mined(group: int, size: int, names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), group + size, np.int64)), pa.array(names.view(np.int64)),
+                                       pa.array(n.astype(np.int64))], names=["g", "h", "n"])
+
+
 def locally_frequent(texts: DataFrame, sizes: tuple[int, ...], bits, min_count: int, shards: int) -> DataFrame:
     """``h`` of the phrases that reach their shard's share of ``min_count`` in some shard."""
     mined = written(texts.mapInArrow(_mine(sizes, shards, bits), "g bigint, h bigint, n bigint")
@@ -246,18 +248,21 @@ def _count(bits, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
         for lang, part in slices(batches):
-            counts = [(0, pa.array([""]), np.array([len(part.word)]))]
+            yield _counted(lang, 0, pa.array([""]), np.array([len(part.word)]))
             for size in range(1, max_words + 1):
                 at = part.places(size)
                 at, n = part.distinct(at[may_hold(held, part.hashes(at, size))], size)
-                counts.append((size, part.strings(at, size), n))
-            for size, phrases, n in counts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), pa.array(np.full(len(n), size, np.int32)),
-                     phrases, pa.array(n.astype(np.int64))], names=["lang", "size", "phrase", "n"])
+                yield _counted(lang, size, part.strings(at, size), n)
+            del part
     return run
 
 
+def _counted(lang: str, size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), pa.array(np.full(len(n), size, np.int32)), phrases,
+         pa.array(n.astype(np.int64))], names=["lang", "size", "phrase", "n"])
+
+
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
                      max_words: int = MAX_WORDS, shards: int = SHARDS) -> DataFrame:
     """``lang, size, phrase, f`` of all phrases of up to ``max_words`` words with ``min_count`` occurrences
