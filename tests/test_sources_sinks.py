@@ -95,6 +95,33 @@ def test_na_is_null_and_published_marts_round_trip(spark):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, mart.collect()), key=str)
 
 
+def test_published_files_are_one_table_in_order(spark):
+    import random
+    rng = random.Random(6)
+    # one code has a third of the rows, some rows have none, and codes repeat
+    rows = [("355030" if k % 3 == 0 else rng.choice([None, *map(str, range(100000, 100200))]), rng.choice([2020, 2021, None]),
+             rng.choice(["Pará", None, "Águas"]), k % 7) for k in range(6000)]
+    df = spark.createDataFrame(rows, "codigo string, ano int, municipio string, obitos int").repartition(5)
+    out = tempfile.mkdtemp(prefix="maternis-test-") + "/out"
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as with a table of many files: all its ranges are kept
+    try:
+        write_published_csv(df, out, order=["codigo", "ano"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    names = sorted(f for f in os.listdir(out) if f.endswith(".csv"))
+    got = []
+    for name in names:
+        lines = open(os.path.join(out, name), encoding="utf-8").read().splitlines()
+        assert lines[0] == "codigo,ano,municipio,obitos"
+        got += [tuple(line.split(",")) for line in lines[1:]]
+    as_text = [tuple("NA" if x is None else str(x) for x in r) for r in rows]
+    last = lambda r: tuple((x == "NA", x) for x in r)
+    assert got == sorted(as_text, key=last) and len(names) > 3
+    hot = [sum(line.startswith("355030") for line in open(os.path.join(out, n), encoding="utf-8")) for n in names]
+    assert sum(hot) == 2000 and max(hot) < 1500  # the hot code lies in several files
+
+
 def test_clean_names_never_collide(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["a", "A ", "a_2", "a_2 "])
     assert len(set(files.clean_names(df).columns)) == 4
