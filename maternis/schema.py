@@ -25,7 +25,7 @@ PRELIMINARY = "preliminar"
 FIRST_PRELIMINARY_YEAR = 2023
 
 # ---------------------------------------------------------------------------
-# Mart contracts (column order is part of the contract)
+# Mart contracts (column order is part of the contract)
 # ---------------------------------------------------------------------------
 OM_COLUMNS = [
     "codigo", "municipio", "uf", "regiao", "ano", "causabas", "causabas_categoria",
@@ -84,6 +84,9 @@ PERIOD_INCONSISTENT = "Período inconsistente"
 
 EXTERNAL_CHAPTER = "XX - Causas externas de morbidade e de mortalidade"
 
+# ---------------------------------------------------------------------------
+# ICD-10 chapters, month names, period slugs, the variable dictionary.
+# ---------------------------------------------------------------------------
 # ICD-10 chapters: (first category, last category, label). Labels are the
 # chapter descriptions without their "Capítulo " prefix.
 ICD_CHAPTERS = [

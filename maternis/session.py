@@ -65,7 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master  # local-cluster[...] has executors of its own
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder on shared storage "
                              "(a machine-local folder does not survive a lost executor)")
         d = tempfile.mkdtemp(prefix="maternis-ckpt-")
