@@ -205,6 +205,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_onm_municipality": lambda s, d: RP.not_considered_report(
             _marts(s, d)["onm"], RP.ReportParams(year=YEAR, level=RP.MUNICIPAL, state=STATE,
                                                  municipality=MUNICIPALITY), FX.state_lookup(s, d)),
+        # municipalities and years that have rows (at the scales whose state has the municipality)
+        "report_onm_municipality_2024": lambda s, d: RP.not_considered_report(
+            _marts(s, d)["onm"], RP.ReportParams(year=2024, level=RP.MUNICIPAL, state="NATION_11",
+                                                 municipality="Supplier#000000004"), FX.state_lookup(s, d)),
+        "report_gc_municipality_2024": lambda s, d: RP.maternal_report(
+            _marts(s, d)["gc"], RP.ReportParams(year=2024, level=RP.MUNICIPAL, state="NATION_1",
+                                                municipality="Supplier#000000008"), FX.state_lookup(s, d)),
         "crosstab_municipal_level": lambda s, d: X.crosstab_long(
             _marts(s, d)["ac"], "racacor", "escolaridade",
             RP.ReportParams(years=AC_YEARS, level=RP.MUNICIPAL, state=STATE, municipality=MUNICIPALITY),
@@ -380,6 +387,10 @@ placed AS (SELECT a.*, row_number() OVER (ORDER BY a.lo, a.hi DESC) AS ordem,
         "report_onm_regions": O.report_sql("onm", "regions", YEAR, O.ONM_ATTRS, O.COMMON_ONM, regions=SOME_REGIONS),
         "report_onm_municipality": O.report_sql("onm", "municipality", YEAR, O.ONM_ATTRS, O.COMMON_ONM, state=STATE,
                                                 municipality=MUNICIPALITY),
+        "report_onm_municipality_2024": O.report_sql("onm", "municipality", 2024, O.ONM_ATTRS, O.COMMON_ONM, state="NATION_11",
+                                                     municipality="Supplier#000000004"),
+        "report_gc_municipality_2024": O.report_sql("gc", "municipality", 2024, O.OM_ATTRS, O.COMMON_OM, state="NATION_1",
+                                                    municipality="Supplier#000000008"),
         "crosstab_municipal_level": W(
             "SELECT racacor AS variavel_linha, escolaridade AS variavel_coluna, COUNT(*) AS obitos FROM ac "
             f"WHERE ano BETWEEN {AC_YEARS[0]} AND {AC_YEARS[1]} AND racacor IS NOT NULL AND idade BETWEEN 10 AND 49 "
