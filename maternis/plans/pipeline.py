@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,14 +93,25 @@ def run_checks(written: dict[str, DataFrame]) -> dict:
     """The checks of a run, on the rows that it wrote: deaths of the official and the per-death mart by year must
     agree, every garbage-code death must be an official one; rows with a null are counted for the record."""
     totals = quality.control_totals(written["om"], written["ac"])
-    off = totals.where(~F.col("obitos_om").eqNullSafe(F.col("linhas_ac"))).limit(5).collect()
-    if off:
-        raise CheckFailed(f"control totals differ: {[r.asDict() for r in off]}")
-    if not written["gc"].exceptAll(written["om"].select(*written["gc"].columns)).isEmpty():
+
+    def differing() -> list:
+        return totals.where(~F.col("obitos_om").eqNullSafe(F.col("linhas_ac"))).limit(5).collect()
+
+    def strangers() -> bool:
+        return written["gc"].exceptAll(written["om"].select(*written["gc"].columns)).isEmpty()
+
+    def sums():
+        return totals.agg(F.count(F.lit(1)).alias("anos"), F.sum("obitos_om").alias("obitos")).first()
+
+    audited = ("om", "ac", "onm")
+    with ThreadPoolExecutor(4) as pool:  # small jobs of their own
+        off, only_known, total = pool.submit(differing), pool.submit(strangers), pool.submit(sums)
+        nulls = dict(zip(audited, pool.map(lambda name: quality.null_audit(written[name]).count(), audited)))
+    if off.result():
+        raise CheckFailed(f"control totals differ: {[r.asDict() for r in off.result()]}")
+    if not only_known.result():
         raise CheckFailed("garbage-code deaths that are no official deaths")
-    sums = totals.agg(F.count(F.lit(1)).alias("anos"), F.sum("obitos_om").alias("obitos")).first()
-    return {"years": sums["anos"], "deaths": sums["obitos"] or 0,
-            "rows_with_nulls": {name: quality.null_audit(written[name]).count() for name in ("om", "ac", "onm")}}
+    return {"years": total.result()["anos"], "deaths": total.result()["obitos"] or 0, "rows_with_nulls": nulls}
 
 
 def write_marts(classified: DataFrame, garbage: DataFrame, out_root: str, file_years: list[int],
