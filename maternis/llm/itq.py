@@ -44,8 +44,8 @@ BLOCK = 512
 #: Greatest Hamming distance of codes that is reranked: at cosine 0.98 a bit differs with probability 0.064, and
 #: more than 20 of 64 do with less than 1e-9.
 RADIUS = 20
-#: Rows of a block, and pairs, that are compared at a time.
-RERANK, STEP = 64, 4096
+#: Rows of a block, and pairs, that are compared at a time; share of candidates from which all pairs are multiplied.
+RERANK, STEP, DENSE = 64, 4096, 0.1
 
 
 def usable(vector: list | None) -> np.ndarray | None:
@@ -142,13 +142,18 @@ def linked_in_blocks(group: pd.DataFrame) -> pd.DataFrame:
     found = []
     for at in range(0, len(first), RERANK):  # the candidates within the radius, then their original vectors
         rows = first[at:at + RERANK]
-        a, b = np.nonzero(np.bitwise_count(word[rows][:, None] ^ word[second]) <= RADIUS)
-        a, b = rows[a], second[b]
+        close = np.bitwise_count(word[rows][:, None] ^ word[second]) <= RADIUS
+        if close.mean() > DENSE:  # a group of near copies: all products at once are cheaper
+            a, b = np.nonzero(close & (unit[rows] @ unit[second].T >= COSINE))
+            a, b = rows[a], second[b]
+        else:
+            a, b = np.nonzero(close)
+            a, b = rows[a], second[b]
+            near = np.concatenate([np.einsum("ij,ij->i", unit[a[k:k + STEP]], unit[b[k:k + STEP]]) >= COSINE
+                                   for k in range(0, len(a), STEP)] or [np.empty(0, bool)])
+            a, b = a[near], b[near]
         own = (ids[a] != ids[b]) & ((a < b) | (lo != hi))
-        a, b = a[own], b[own]
-        near = np.concatenate([np.einsum("ij,ij->i", unit[a[k:k + STEP]], unit[b[k:k + STEP]]) >= COSINE
-                               for k in range(0, len(a), STEP)] or [np.empty(0, bool)])
-        found.append((a[near], b[near]))
+        found.append((a[own], b[own]))
     a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
     new = (code[a] == code[b]).argmax(1) == table
     links = np.bincount(a[new], minlength=len(ids)) + np.bincount(b[new], minlength=len(ids))
