@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 DAMPING = 0.85
-#: Turns of the walks in the DuckDB SQL.
-TURNS = 20
 #: What a walk may leave out of a score, in shares of the threshold that blocks a host.
 REST = 1e-6
 #: Turns after which the scores of a walk are summed up and written.

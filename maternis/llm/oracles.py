@@ -11,7 +11,7 @@ def _q(text: str) -> str:
 
 
 def link_graph_sql() -> str:
-    """``op6_link_graph``: rules, host edges and the turns of both walks, one CTE a turn."""
+    """``op6_link_graph``: rules, host edges and both walks, each a recursive CTE."""
     host = lambda u: f"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{L.UPPER}', '{L.LOWER}')"
     fits = lambda r: (f"((host = {_q(r.host)} OR ends_with(host, {_q('.' + r.host)})) "
                       f"AND starts_with(path, {_q(r.path)}))")
@@ -34,13 +34,14 @@ def link_graph_sql() -> str:
         ctes.append(f"{name}_step AS MATERIALIZED (SELECT {a} AS host, {b} AS nxt, n / sum(n) OVER (PARTITION BY {a}) AS p FROM edges)")
         ctes.append(f"{name}0 AS MATERIALIZED (SELECT host, 1.0::DOUBLE / (SELECT count(*) FROM hosts WHERE {seed}) AS m "
                     f"FROM hosts WHERE {seed})")
-        ctes += [f"{name}{k} AS MATERIALIZED (SELECT nxt AS host, sum(m * p * {L.DAMPING}) AS m FROM {name}{k - 1} "
-                 f"JOIN {name}_step USING (host) GROUP BY nxt)" for k in range(1, L.TURNS + 1)]
-        every = " UNION ALL ".join(f"SELECT host, m FROM {name}{k}" for k in range(L.TURNS + 1))
-        ctes.append(f"{name}_score AS (SELECT host, sum(m) * {1 - L.DAMPING} AS s FROM ({every}) GROUP BY host)")
+        # turns until no mass that can be left matters, as in the operator: it is at most DAMPING ** k after k turns
+        turns = f"(SELECT ceil(ln({L.REST * L.MARGIN} / greatest(count(*), 1)) / ln({L.DAMPING})) FROM hosts)"
+        ctes.append(f"{name}_walk(k, host, m) AS (SELECT 0, host, m FROM {name}0 UNION ALL SELECT k + 1, nxt, sum(m * p * {L.DAMPING}) "
+                    f"FROM {name}_walk JOIN {name}_step USING (host) WHERE k < {turns} GROUP BY k, nxt)")
+        ctes.append(f"{name}_score AS (SELECT host, sum(m) * {1 - L.DAMPING} AS s FROM {name}_walk GROUP BY host)")
     ctes.append("blocked AS (SELECT h.host FROM hosts h LEFT JOIN t_score t ON t.host = h.host LEFT JOIN d_score d ON d.host = h.host "
                 f"WHERE coalesce(d.s, 0) - coalesce(t.s, 0) > {L.MARGIN} / (SELECT count(*) FROM hosts))")
-    return ("WITH " + ", ".join(ctes) + " SELECT page_id, host, path, rule, CASE WHEN coalesce(allow, host NOT IN "
+    return ("WITH RECURSIVE " + ", ".join(ctes) + " SELECT page_id, host, path, rule, CASE WHEN coalesce(allow, host NOT IN "
             "(SELECT host FROM blocked)) THEN 'allow' ELSE 'block' END AS verdict FROM r")
 
 

@@ -4,6 +4,10 @@ from collections import defaultdict
 from maternis.llm import link_graph as L
 
 
+#: Turns of the brute force: 0.85 ** 300 is nothing.
+TURNS = 300
+
+
 def split(url):
     if url is None or "://" not in url:
         return "", ""
@@ -42,7 +46,7 @@ def brute(pages):
         deg = defaultdict(int)
         for (a, _), c in e.items():
             deg[a] += c
-        for k in range(L.TURNS + 1):
+        for k in range(TURNS + 1):
             for h, v in m.items():
                 out[h] += (1 - L.DAMPING) * v
             new = defaultdict(float)
@@ -113,7 +117,6 @@ def test_many_host_links_against_converged_brute_force(spark, monkeypatch):
     df = spark.range(1500).selectExpr("id AS page_id", f"'http://' || {pick(0)} || '/es/' || id AS url", f"{links} AS html")
     pages = [tuple(r) for r in df.collect()]
     got = rows(L.judge_urls(df))
-    monkeypatch.setattr(L, "TURNS", 300)  # of the brute force
     assert got == brute(pages) and {r[4] for r in got if not r[3]} == {"allow", "block"}
 
 
@@ -132,11 +135,16 @@ def test_oracle_sql_against_brute_force():
     links = [(1, "http://bad.net/es/1", link("https://good.org/")), (2, "http://farm.org/x", link("http://bad.net/es/1", "//bad.net/")),
              (3, "http://farm2.org", link("http://farm.org/x", "http://bad.net/")), (4, "https://a.com/", link("http://ok.org/?q")),
              (5, "http://ok.org/y", link("http://farm.org/")), (8, None, link("http://z.org")), (9, "nothing", None)]
-    con = duckdb.connect()
-    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
-    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", links)
-    got = con.execute(link_graph_sql()).fetchall()
-    assert sorted((k, h, p, r or "", v) for k, h, p, r, v in got) == brute(links)
+    # a chain of hosts that leads to a blocked one, much longer than 20 turns, and many hosts beside it
+    chain = [(k, f"http://c{k}.org/", link(f"http://c{k + 1}.org/")) for k in range(44)] + [(44, "http://c44.org/", link("http://bad.net/"))]
+    chain += [(45, "http://bad.net/es/1", "")] + [(k, f"http://o{k}.org/", "") for k in range(46, 1000)]
+    for pages in (links, chain):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+        con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+        got = con.execute(link_graph_sql()).fetchall()
+        assert sorted((k, h, p, r or "", v) for k, h, p, r, v in got) == brute(pages)
+    assert "block" in {r[4] for r in brute(chain)[:24]}  # more than 20 links away
 
 
 def test_clashing_columns_and_empty_table(spark):
