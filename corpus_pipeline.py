@@ -3,6 +3,22 @@
 Each stage takes (spark, docs, sf_dir), where ``docs`` is what its predecessor
 kept (with the columns of ``documents``), and returns a DataFrame that is
 written as Parquet and read again before the next stage.
+
+Defined results, stage by stage:
+
+quality          a null or empty text is scored by the model's bias; every row is judged by
+                 its own text, repeated rows alike; an empty table stays empty.
+near_duplicates  rows with a null id, and null or empty texts, stay; of rows equal in id and
+                 text one stays; rows of one id with different texts are judged each by its
+                 text; of a class the row of the least id (then digest of the text) stays.
+secrets          null texts stay null; every other text has its spans masked, of any length
+                 and number; ``n_chars`` is the masked text's.
+mixing           a row for each pass; null sources are a source; texts without tokens are in
+                 the mixture; ties of the draw are ordered by id and text.
+bpe              a null or empty text has no ids; one result row for each row of the mixture.
+
+Only the columns of ``documents`` are carried, so columns of other names, clashing or not, do
+not reach a stage. Texts of any length are processed whole.
 """
 
 from __future__ import annotations
