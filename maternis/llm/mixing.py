@@ -16,7 +16,7 @@ taken in a pass while its first token lies within the source's budget.
 Positions are prefix sums in two levels (cells of the hash range within a
 source and pass, then documents within a cell), so that a source with a third of
 all rows is spread over many tasks. Sources are a table, never a list on the
-driver; the driver sees one row of totals per step of the bisection.
+driver; the driver sees one row of totals for each exponent that the bisection tries.
 
 A budget that no exponent keeps within the repetition limit is an error.
 
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
-STEPS = 40
+#: Halvings of the bisection, and how many of them one job decides.
+STEPS, HALVINGS = 40, 6
 #: Documents of a cell of the permutation, about.
 CELL_ROWS = 2_000
 SEED = 20
@@ -68,43 +69,49 @@ def source_totals(docs: DataFrame, source: str, tokens: str) -> DataFrame:
     return sums.withColumn("p", F.when(F.lit(total) > 0, F.col("tokens") / F.lit(float(total) or 1.0)).otherwise(0.0))
 
 
-def at_exponent(totals: DataFrame, x: float, target: Target) -> tuple[float, float, float]:
-    """Entropy share, largest repetition and budget of the weights p ** x."""
-    raised = totals.where("tokens > 0").withColumn("u", F.pow("p", F.lit(x)))
-    row = raised.agg(F.sum("u").alias("z"), F.sum(F.col("u") * F.log("u")).alias("h"), F.count(F.lit(1)).alias("n"),
-                     F.max(F.col("u") / F.col("tokens")).alias("most"), F.min(F.col("u") / F.col("tokens")).alias("least")).first()
-    if not row["n"]:
-        return 1.0, 0.0, 0.0
-    entropy = math.log(row["z"]) - row["h"] / row["z"]
-    budget = target.budget if target.budget is not None else row["z"] / row["least"]
-    return entropy / math.log(row["n"]) if row["n"] > 1 else 1.0, row["most"] / row["z"] * budget, budget
+def at_exponents(totals: DataFrame, exponents: list[float], target: Target) -> list[tuple[float, float, float]]:
+    """Entropy share, largest repetition and budget of the weights p ** x for each exponent x, in one aggregation."""
+    raised = totals.where("tokens > 0").select("p", "tokens", F.posexplode(F.array(*map(F.lit, exponents))).alias("at", "x"))
+    rows = raised.withColumn("u", F.pow("p", "x")).groupBy("at").agg(
+        F.sum("u").alias("z"), F.sum(F.col("u") * F.log("u")).alias("h"), F.count(F.lit(1)).alias("n"),
+        F.max(F.col("u") / F.col("tokens")).alias("most"), F.min(F.col("u") / F.col("tokens")).alias("least"))
+    out = [(1.0, 0.0, 0.0)] * len(exponents)
+    for row in rows.collect():  # one row an exponent
+        entropy = math.log(row["z"]) - row["h"] / row["z"]
+        budget = target.budget if target.budget is not None else row["z"] / row["least"]
+        out[row["at"]] = entropy / math.log(row["n"]) if row["n"] > 1 else 1.0, row["most"] / row["z"] * budget, budget
+    return out
 
 
 def find_exponent(totals: DataFrame, target: Target) -> tuple[float, float]:
-    """The exponent and the budget, by bisection; both limits fall or rise steadily with it."""
-    def fits(x: float) -> bool:
+    """The exponent and the budget, by bisection; both limits fall or rise steadily with it.
+
+    A job decides several halvings at once: it tries all exponents that these could come to."""
+    def fits(result: tuple) -> bool:
         """Whether the weights are even enough: then a larger exponent may do too."""
-        return target.entropy is not None and at_exponent(totals, x, target)[0] >= target.entropy
-
-    def repeats(x: float) -> bool:
-        return target.repetition is not None and at_exponent(totals, x, target)[1] > target.repetition * (1 + 1e-12)
-
-    low, high = 0.0, 1.0
-    if target.entropy is None or fits(1.0):
-        low = 1.0
-    else:
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fits(mid) else (low, mid)
-    if repeats(low):
-        high = 1.0
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (mid, high) if repeats(mid) else (low, mid)
-        low = high
-    if target.budget is not None and repeats(low):
+        return target.entropy is not None and result[0] >= target.entropy
+
+    def repeats(result: tuple) -> bool:
+        return target.repetition is not None and result[1] > target.repetition * (1 + 1e-12)
+
+    def bisect(low: float, high: float, holds) -> tuple[float, float]:
+        """The last place in ``STEPS`` halvings where ``holds`` does, and the next one."""
+        for at in range(0, STEPS, HALVINGS):
+            n = 1 << min(HALVINGS, STEPS - at)
+            places = [low + (high - low) * k / n for k in range(n + 1)]
+            found = [holds(r) for r in at_exponents(totals, places[1:-1], target)]
+            k = found.index(False) if False in found else n - 1
+            low, high = places[k], places[k + 1]
+        return low, high
+
+    at = lambda x: at_exponents(totals, [x], target)[0]
+    low = 1.0 if target.entropy is None or fits(at(1.0)) else bisect(0.0, 1.0, fits)[0]
+    if repeats(at(low)):
+        low = bisect(low, 1.0, repeats)[1]
+    last = at(low)
+    if target.budget is not None and repeats(last):
         raise ValueError(f"a budget of {target.budget:g} tokens repeats some source more than {target.repetition:g} times at any exponent")
-    return low, at_exponent(totals, low, target)[2]
+    return low, last[2]
 
 
 def mixing_plan(docs: DataFrame, target: Target, source: str, tokens: str) -> DataFrame:

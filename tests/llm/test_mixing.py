@@ -99,3 +99,11 @@ def test_repeats_clashes_and_empty_table(spark):
         (0, 3, "x"), (1, 1, "x y"), (1, 1, "x y")]
     assert M.mix(df.limit(0)).collect() == []
     assert M.mix(df.withColumn("text", F.lit(None).cast("string"))).count() == 3
+
+
+def test_budget_beyond_the_repetition_limit_is_an_error(spark):
+    df = spark.createDataFrame([(k, "s", "w " * 100) for k in range(4)] + [(9, "t", "w " * 200)], "doc_id bigint, source string, text string")
+    with pytest.raises(ValueError, match="repeats"):
+        M.mix(df, M.Target(repetition=2.0, budget=3000))
+    got = M.mix(df, M.Target(entropy=0.0, repetition=2.0, budget=1200)).collect()
+    assert sum(r.n_tokens for r in got) == 1200
