@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema as S
+
 # The cause codes the fixture cycles through (the last one is null).
 FIXTURE_CODES = [
     "A34", "B20", "B200", "B24", "B249", "B250", "D392", "E230", "F53", "F530", "F539",
@@ -45,7 +47,9 @@ def sim_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     # they are plain attributes downstream, as a scan of landed files gives:
     # filters on them are not pushed below it by substituting these
     # expressions into every reference of the classification predicates.
-    return li.select(F.inline(F.array(F.struct(
+    # The file year stays beside it: like the folders of landed files, a filter
+    # on it leaves rows out before their columns are made.
+    return li.select(year.cast("int").alias("ano_arquivo"), F.inline(F.array(F.struct(
         F.when((o + n) % 5 == 0, F.lit("1")).otherwise(F.lit("2")).alias("sexo"),
         _pick(FIXTURE_CODES, p % 38).alias("causabas"),
         _pick(["1", "2", "9", None, "8"], F.call_function("div", o, F.lit(8)) % 5).alias("obitograv"),
@@ -64,8 +68,7 @@ def sim_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(["1", "2", "9", None], (p + s + n) % 4).alias("necropsia"),
         _pick(["1", "2", "9", None, "3"], (s + n) % 5).alias("fonteinv"),
         F.when(s % 20 == 0, F.lit(None).cast("string")).otherwise(s.cast("string")).alias("codmunres"),
-        year.cast("int").alias("ano_arquivo"),
-    ))))
+    )))).select(*S.RAW_COLUMNS, "ano_arquivo")
 
 
 def _nation_code(c: Column) -> Column:
@@ -138,7 +141,6 @@ def decade_blocks(blocks: list[tuple[str, str, str]]) -> list[tuple[str, str, st
 
 def nested_intervals(spark: SparkSession) -> DataFrame:
     """Chapters, their letter blocks and the decades of those: intervals nested three deep."""
-    from .. import schema as S
     from .files import INTERVAL_SCHEMA
     from ..operators.dims import with_row_bound
     blocks = letter_blocks(S.ICD_CHAPTERS)
